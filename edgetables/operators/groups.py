@@ -58,19 +58,49 @@ def secondary_sort(pairs: DataFrame) -> DataFrame:
     return pairs.repartitionByRange("src", "dst").sortWithinPartitions("src", "dst")
 
 
+def rank_in_group(
+    rows: DataFrame,
+    keys: list[str],
+    order: list[str],
+    n_rows: int | None = None,
+    max_group_rows: int | None = None,
+) -> DataFrame:
+    """Add ``row_num``, the rank by ``order`` within ``keys``.
+
+    Large groups are ranked in consecutive ranges of the first order column,
+    each starting after the rows of the ranges before it.
+    """
+    ranged = ranged_groups(rows, keys, order[0], n_rows, max_group_rows)
+    in_order = Window.partitionBy(*keys, *ranged.extra_keys).orderBy(*order)
+    row_num = F.row_number().over(in_order) + ranged.rows_before
+    return ranged.rows.select(*rows.columns, row_num.alias("row_num"))
+
+
 def secondary_sort_rank(
     pairs: DataFrame, n_rows: int | None = None, max_group_rows: int | None = None
 ) -> DataFrame:
     """``(src, dst, row_num, min_dst)``: rank by ``dst`` and first neighbour per node.
 
-    Pairs are taken as a set.  Large groups are ranked in consecutive ``dst``
-    ranges, each starting after the rows of the ranges before it.
+    Pairs are taken as a set.
     """
     ranged = ranged_groups(pairs.select("src", "dst").distinct(), ["src"], "dst", n_rows, max_group_rows)
     by_dst = Window.partitionBy("src", *ranged.extra_keys).orderBy("dst")
     return ranged.rows.select(
         "src",
         "dst",
-        (F.row_number().over(by_dst) + ranged.rows_before).cast("bigint").alias("row_num"),
+        (F.row_number().over(by_dst) + ranged.rows_before).alias("row_num"),
         F.coalesce(ranged.hot_min, F.first("dst").over(by_dst)).alias("min_dst"),
     )
+
+
+def next_in_group(
+    rows: DataFrame, keys: list[str], order: list[str], item: str, max_group_rows: int | None = None
+) -> DataFrame:
+    """``(src, dst)``: each item with the one that follows it in its group.
+
+    Neighbouring ranks are joined, so that the rows of a large group spread.
+    """
+    ranked = rank_in_group(rows, keys, order, None, max_group_rows)
+    here = ranked.select(*keys, "row_num", F.col(item).alias("src"))
+    after = ranked.select(*keys, (F.col("row_num") - 1).alias("row_num"), F.col(item).alias("dst"))
+    return here.join(after, [*keys, "row_num"]).select("src", "dst")

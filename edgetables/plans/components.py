@@ -51,16 +51,16 @@ def find_components(
     step, growth = STRATEGIES[strategy]
     workspace = Workspace(edges.sparkSession)
     low, high = F.least("src", "dst"), F.greatest("src", "dst")  # a null end yields the other one twice
-    canonical = edges.select(high.alias("src"), low.alias("dst")).filter("src is not null").dropDuplicates()
-    is_pair = F.col("src") != F.col("dst")
+    canonical = edges.select(high.alias("src"), low.alias("dst")).dropDuplicates()
+    is_pair, is_lonely = F.col("src") != F.col("dst"), F.col("src") == F.col("dst")  # neither holds for two nulls
     stored, seen = workspace.write(
         canonical,
         "edges",
         F.count_if(is_pair).alias("pairs"),
-        F.count_if(~is_pair).alias("lonely"),
+        F.count_if(is_lonely).alias("lonely"),
     )
     run = fixed_point(
-        stored.filter(is_pair) if seen["lonely"] else stored,
+        stored.filter(is_pair),
         lambda pairs, n: step(pairs, n, max_group_rows, **step_options),
         seen["pairs"],
         max_iterations,
@@ -71,7 +71,7 @@ def find_components(
     )
     lonely = None
     if seen["lonely"]:
-        lonely = stored.filter(~is_pair).select(F.col("src").alias("node"), F.col("dst").alias("component"))
+        lonely = stored.filter(is_lonely).select(F.col("src").alias("node"), F.col("dst").alias("component"))
     else:
         workspace.drop("edges")
     return Components(run.pairs, run.iterations, run.converged, run.metrics, lonely)

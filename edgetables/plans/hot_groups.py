@@ -92,9 +92,9 @@ def heavy_items(rows: DataFrame, item: Column) -> DataFrame:
 
 def hot_groups(pairs: DataFrame, limit: int) -> DataFrame:
     """``(src, hot_min, salts)`` of the groups with more than ``limit`` rows."""
-    candidates = heavy_items(pairs, F.col("src")).withColumnRenamed("item", "src")
+    hashed = pairs.select("src", "dst", F.xxhash64("src").alias("item"))
     return (
-        pairs.join(F.broadcast(candidates), "src", "left_semi")
+        hashed.join(F.broadcast(heavy_items(hashed, F.col("item"))), "item", "left_semi")
         .groupBy("src")
         .agg(F.count(F.lit(1)).alias("size"), F.min("dst").alias("hot_min"))
         .filter(F.col("size") > limit)
@@ -112,8 +112,8 @@ def ranged_groups(
 ) -> SplitGroups:
     """Split hot groups into consecutive ranges of the ``order`` column.
 
-    ``(keys, order)`` must be unique in ``rows``; ``weight`` says for how many
-    original rows each one stands.  ``rows_before`` is the weight of the ranges
+    Rows with equal ``(keys, order)`` share a part, so few should be equal;
+    ``weight`` says for how many original rows each one stands.  ``rows_before`` is the weight of the ranges
     to the left, so ranks and running sums carry on across ranges.
     """
     if n_rows is None:

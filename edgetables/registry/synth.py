@@ -1,0 +1,135 @@
+"""Queries for the synthetic edge tables, sized by the row counts of the given tables.
+
+Chain and star are compared edge by edge.  For the random families the query
+is a summary of what the family promises, and the SQL says what that must be.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from edgetables.operators import synth as S
+from edgetables.plans.components import connected_components
+from edgetables.registry.base import query, row_count
+
+BLOCKS = 10
+COMMUNITIES = 7
+LINKS = 3
+DIAMETER = 20
+
+
+def summary(edges: DataFrame, *more: Column) -> DataFrame:
+    """Edges, repeated edges, edges that are not ``src < dst``, id range, and more counts."""
+    return edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("copies")).agg(
+        F.sum("copies").alias("n_edges"),
+        F.sum(F.col("copies") - 1).alias("n_repeated"),
+        F.count_if(F.col("src") >= F.col("dst")).alias("n_not_canonical"),
+        F.count_if((F.col("src") < 0)).alias("n_below_range"),
+        *more,
+    )
+
+
+def promise(n_edges: str, *more: str) -> str:
+    columns = [
+        f"CAST({n_edges} AS BIGINT) AS n_edges",
+        "CAST(0 AS BIGINT) AS n_repeated",
+        "CAST(0 AS BIGINT) AS n_not_canonical",
+        "CAST(0 AS BIGINT) AS n_below_range",
+        *more,
+    ]
+    return "SELECT " + ", ".join(columns)
+
+
+def rows_of(name: str) -> str:
+    return f"(SELECT count(*) FROM {name})"
+
+
+def zero(name: str) -> str:
+    return f"CAST(0 AS BIGINT) AS {name}"
+
+
+def outside(n: int) -> Column:
+    return F.count_if(F.col("dst") >= n).alias("n_above_range")
+
+
+def with_components(stats: DataFrame, edges: DataFrame) -> DataFrame:
+    labels = connected_components(edges)
+    found = labels.agg(
+        F.count(F.lit(1)).alias("n_nodes"), F.count_if(F.col("node") == F.col("component")).alias("n_components")
+    ).first()
+    return stats.select("*", *[F.lit(found[c]).cast("bigint").alias(c) for c in ("n_nodes", "n_components")])
+
+
+@query("gen_chain", f"SELECT i AS src, i + 1 AS dst FROM range({rows_of('orders')} - 1) t(i)")
+def _(spark, sf_dir):
+    return S.chain(spark, row_count(spark, sf_dir, "orders"))
+
+
+@query("gen_star", f"SELECT CAST(0 AS BIGINT) AS src, i + 1 AS dst FROM range({rows_of('orders')} - 1) t(i)")
+def _(spark, sf_dir):
+    return S.star(spark, row_count(spark, sf_dir, "orders"))
+
+
+@query("gen_random_summary", promise(rows_of("lineitem"), zero("n_above_range")))
+def _(spark, sf_dir):
+    n = row_count(spark, sf_dir, "orders")
+    return summary(S.random_edges(spark, n, row_count(spark, sf_dir, "lineitem")), outside(n))
+
+
+@query("gen_multi_summary", promise(rows_of("lineitem"), zero("n_above_range"), zero("n_crossing")))
+def _(spark, sf_dir):
+    n = row_count(spark, sf_dir, "orders")
+    size, larger = divmod(n, BLOCKS)
+    edge = larger * (size + 1)
+
+    def block(node: str) -> Column:
+        node = F.col(node)
+        return F.when(node < edge, F.floor(node / (size + 1))).otherwise(larger + F.floor((node - edge) / size))
+
+    edges = S.multi_component(spark, n, BLOCKS, row_count(spark, sf_dir, "lineitem"))
+    return summary(edges, outside(n), F.count_if(block("src") != block("dst")).alias("n_crossing"))
+
+
+@query(
+    "gen_communities_summary",
+    promise(
+        f"{rows_of('lineitem')} + {rows_of('events')}",
+        zero("n_above_range"),
+        f"CAST({rows_of('lineitem')} AS BIGINT) AS n_inside",
+    ),
+)
+def _(spark, sf_dir):
+    n, inside, between = (row_count(spark, sf_dir, t) for t in ("orders", "lineitem", "events"))
+    edges = S.communities(spark, n, COMMUNITIES, inside, between)
+    same = F.count_if(F.col("src") % COMMUNITIES == F.col("dst") % COMMUNITIES).alias("n_inside")
+    return summary(edges, outside(n), same)
+
+
+@query(
+    "gen_scalefree_summary",
+    promise(
+        f"{LINKS * (LINKS - 1) // 2} + ({rows_of('orders')} - {LINKS}) * {LINKS}",
+        zero("n_above_range"),
+        f"CAST({rows_of('orders')} AS BIGINT) AS n_nodes",
+        "CAST(1 AS BIGINT) AS n_components",
+    ),
+)
+def _(spark, sf_dir):
+    n = row_count(spark, sf_dir, "orders")
+    edges = S.scale_free(spark, n, LINKS)
+    return with_components(summary(edges, outside(n)), edges)
+
+
+@query(
+    "gen_diameter_summary",
+    promise(
+        rows_of("lineitem"),
+        zero("n_above_range"),
+        f"CAST({rows_of('orders')} AS BIGINT) AS n_nodes",
+        "CAST(1 AS BIGINT) AS n_components",
+    ),
+)
+def _(spark, sf_dir):
+    n = row_count(spark, sf_dir, "orders")
+    edges = S.fixed_diameter(spark, n, row_count(spark, sf_dir, "lineitem"), DIAMETER)
+    return with_components(summary(edges, outside(n)), edges)
