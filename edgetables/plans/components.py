@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -12,12 +14,17 @@ from edgetables.plans.fixed_point import MAX_ITERATIONS, FixedPoint, fixed_point
 from edgetables.plans.steps import step_join, step_list, step_window
 from edgetables.plans.storage import Workspace
 
-# step and the most rows it may emit per pair
+class Strategy(NamedTuple):
+    step: Callable[..., DataFrame]
+    growth: int  # most rows the step emits per pair
+    distinct: bool  # whether the loop has to drop copies for it
+
+
 STRATEGIES = {
-    "contract": (step_contract, 1),
-    "window": (step_window, 2),
-    "join": (step_join, 2),
-    "list": (step_list, 2),
+    "contract": Strategy(step_contract, 1, False),
+    "window": Strategy(step_window, 2, True),
+    "join": Strategy(step_join, 2, True),
+    "list": Strategy(step_list, 2, True),
 }
 
 
@@ -43,15 +50,16 @@ def find_components(
 ) -> Components:
     """Run the loop on ``edges (src, dst)`` and return its pairs, counters and labels.
 
-    The edges are read once.  They are stored canonical and deduplicated, which
-    fixes their number and means that no later row count grows with repeated
-    input rows.  Self-loops and edges with one null end only tell that a node
+    The edges are read once and stored canonical, which fixes their number.
+    Self-loops and edges with one null end only tell that a node
     exists; they are kept aside and join the labels at the end.
     """
-    step, growth = STRATEGIES[strategy]
+    step, growth, distinct = STRATEGIES[strategy]
     workspace = Workspace(edges.sparkSession)
     low, high = F.least("src", "dst"), F.greatest("src", "dst")  # a null end yields the other one twice
-    canonical = edges.select(high.alias("src"), low.alias("dst")).dropDuplicates()
+    canonical = edges.select(high.alias("src"), low.alias("dst"))
+    if distinct:
+        canonical = canonical.dropDuplicates()
     is_pair, is_lonely = F.col("src") != F.col("dst"), F.col("src") == F.col("dst")  # neither holds for two nulls
     stored, seen = workspace.write(
         canonical,
@@ -67,6 +75,7 @@ def find_components(
         checkpoint_every,
         on_limit,
         growth,
+        distinct,
         workspace,
     )
     lonely = None

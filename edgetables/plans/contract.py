@@ -22,19 +22,34 @@ from pyspark.sql import DataFrame, Window, functions as F
 from edgetables.functions.ids import big
 from edgetables.plans.hot_groups import MAX_HOT_KEYS, heavy_items, row_limit
 
+MAX_BROADCAST_ROWS = 500_000  # two longs per row: 8 MB
 SPREAD = 65_536  # salts for rows that must not meet
 
 
 def step_contract(pairs: DataFrame, n_pairs: int | None = None, max_group_rows: int | None = None) -> DataFrame:
-    """Flagged rows ``(src, dst, is_new)`` of one step over distinct pairs with ``src > dst``."""
+    """Flagged rows ``(src, dst, is_new)`` of one step over pairs with ``src > dst``.
+
+    ``pairs`` may hold copies: within the row limit they are dropped where the
+    sorted rows of a node pass by anyway, beyond it before anything else, with
+    copies combined ahead of the shuffle.
+    """
     n_pairs = pairs.count() if n_pairs is None else n_pairs
     limit = row_limit(n_pairs, max_group_rows, MAX_HOT_KEYS)
-    parents = pairs.groupBy("src").agg(F.min("dst").alias("parent"))
-    if n_pairs <= limit:
-        linked = pairs.select("src", "dst", F.min("dst").over(Window.partitionBy("src")).alias("parent"))
-        above = parents.select(F.col("src").alias("dst"), F.col("parent").alias("above"))
-        return _rewrite(linked.join(above, "dst", "left"))
-    return _rewrite(_linked_around_hot_nodes(pairs, parents, limit))
+    if n_pairs > limit:
+        distinct = pairs.dropDuplicates()
+        return _rewrite(_linked_around_hot_nodes(distinct, _parents(distinct), limit))
+
+    in_order = Window.partitionBy("src").orderBy("dst")
+    linked = pairs.select(
+        "src", "dst", F.first("dst").over(in_order).alias("parent"), F.lag("dst").over(in_order).alias("before")
+    ).filter("before is null or before < dst")
+    above = _parents(pairs).withColumnsRenamed({"src": "dst", "parent": "above"})
+    above = F.broadcast(above) if n_pairs <= MAX_BROADCAST_ROWS else above.hint("shuffle_hash")
+    return _rewrite(linked.join(above, "dst", "left"))
+
+
+def _parents(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("src").agg(F.min("dst").alias("parent"))
 
 
 def _linked_around_hot_nodes(pairs: DataFrame, parents: DataFrame, limit: int) -> DataFrame:

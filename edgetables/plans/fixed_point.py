@@ -36,6 +36,7 @@ def fixed_point(
     checkpoint_every: int = 1,
     on_limit: str = "raise",
     growth: int = 2,
+    distinct: bool = True,
     workspace: Workspace | None = None,
 ) -> FixedPoint:
     """Apply ``step`` and deduplicate until no row is flagged new.
@@ -44,7 +45,8 @@ def fixed_point(
     ``checkpoint_every`` steps the pairs are stored and the stop test is made;
     the older generation is then dropped.  At the fixed point a step changes
     nothing, so steps past it are harmless.  A step may emit ``growth`` rows per
-    pair, by default one per direction.  ``on_limit="return"`` hands back
+    pair, by default one per direction; ``distinct=False`` is for steps that
+    drop the copies in their input themselves.  ``on_limit="return"`` hands back
     the unfinished pairs instead of raising.
     """
     workspace = workspace or Workspace(pairs.sparkSession)
@@ -53,7 +55,7 @@ def fixed_point(
     while done < max_iterations:
         steps = min(checkpoint_every, max_iterations - done)
         for _ in range(steps):
-            flagged = dedup_flagged(step(pairs, bound))
+            flagged = dedup_flagged(step(pairs, bound)) if distinct else step(pairs, bound)
             pairs = flagged.select("src", "dst")
             bound *= growth
         done += steps

@@ -27,7 +27,9 @@ def checkpoint_root(spark: SparkSession) -> str:
         return root
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return _local_roots.setdefault(context.applicationId, tempfile.mkdtemp(prefix="edgetables-"))
+    if context.applicationId not in _local_roots:
+        _local_roots[context.applicationId] = tempfile.mkdtemp(prefix="edgetables-")
+    return _local_roots[context.applicationId]
 
 
 class Workspace:
