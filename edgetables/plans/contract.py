@@ -36,8 +36,7 @@ def step_contract(pairs: DataFrame, n_pairs: int | None = None, max_group_rows:
     n_pairs = pairs.count() if n_pairs is None else n_pairs
     limit = row_limit(n_pairs, max_group_rows, MAX_HOT_KEYS)
     if n_pairs > limit:
-        distinct = pairs.dropDuplicates()
-        return _rewrite(_linked_around_hot_nodes(distinct, _parents(distinct), limit))
+        return _rewrite(_linked_around_hot_nodes(pairs, limit))
 
     in_order = Window.partitionBy("src").orderBy("dst")
     linked = pairs.select(
@@ -52,41 +51,47 @@ def _parents(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("src").agg(F.min("dst").alias("parent"))
 
 
-def _linked_around_hot_nodes(pairs: DataFrame, parents: DataFrame, limit: int) -> DataFrame:
+def _linked_around_hot_nodes(pairs: DataFrame, limit: int) -> DataFrame:
     """Pairs with the parents of both ends, rows of hot nodes spread over many tasks.
 
     Hot nodes, whether hot as upper or as lower end, get their parents from a
     broadcast table.  Their rows go through the window in salted parts, and
     through the join under salts that match nothing.
     """
-    ends = pairs.select(F.explode(F.array("src", "dst")).alias("node"))
-    candidates = heavy_items(ends, F.col("node")).withColumnRenamed("item", "node")
-    sizes = (
-        pairs.join(F.broadcast(candidates), F.col("src") == F.col("node"), "left_semi")
-        .groupBy("src")
-        .agg(F.min("dst").alias("hot_parent"), F.ceil(F.count(F.lit(1)) / limit).cast("bigint").alias("salts"))
-    )
-    hot = candidates.join(sizes, F.col("src") == F.col("node"), "left").select("node", "hot_parent", "salts")
-    upper = hot.withColumnRenamed("node", "src")
+    hot = _hot_nodes(pairs, limit)
+    upper = hot.select(F.col("node").alias("src"), "hot_parent", "parts")
     lower = hot.select(F.col("node").alias("dst"), F.col("hot_parent").alias("hot_above"), F.lit(True).alias("hot"))
-    known = pairs.join(F.broadcast(upper), "src", "left").join(F.broadcast(lower), "dst", "left")
-    part = F.when(F.col("salts") > 1, F.pmod(F.xxhash64("dst"), F.col("salts"))).otherwise(big(0))
-    apart = F.when(F.col("hot"), 1 + F.pmod(F.xxhash64("src"), big(SPREAD))).otherwise(big(0))
-    linked = known.select(
-        "src", "dst", "hot_parent", "hot_above", part.alias("part"), apart.alias("salt")
-    ).select(
-        "src",
-        "dst",
-        "hot_above",
-        "salt",
-        F.coalesce("hot_parent", F.min("dst").over(Window.partitionBy("src", "part"))).alias("parent"),
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("dst"), F.col("parts"))).otherwise(big(0))
+    salt = F.when(F.col("hot"), 1 + F.pmod(F.xxhash64("src"), big(SPREAD))).otherwise(big(0))
+    known = (
+        pairs.dropDuplicates()
+        .join(F.broadcast(upper), "src", "left")
+        .join(F.broadcast(lower), "dst", "left")
+        .select("src", "dst", "hot_parent", "hot_above", part.alias("part"), salt.alias("salt"))
+    )
+    lowest = F.min("dst").over(Window.partitionBy("src", "part"))
+    linked = known.select("src", "dst", "hot_above", "salt", F.coalesce("hot_parent", lowest).alias("parent"))
+    above = _parents(pairs).select(
+        F.col("src").alias("dst"), F.col("parent").alias("cold_above"), big(0).alias("salt")
     )
-    above = parents.select(F.col("src").alias("dst"), F.col("parent").alias("cold_above"), big(0).alias("salt"))
     return linked.join(above, ["dst", "salt"], "left").select(
         "src", "dst", "parent", F.coalesce("hot_above", "cold_above").alias("above")
     )
 
 
+def _hot_nodes(pairs: DataFrame, limit: int) -> DataFrame:
+    """``(node, hot_parent, parts)`` of all nodes that may be hot as either end; no parent means root."""
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("node"))
+    candidates = heavy_items(ends, F.col("node")).withColumnRenamed("item", "node")
+    parents = (
+        pairs.withColumnRenamed("src", "node")
+        .join(F.broadcast(candidates), "node", "left_semi")
+        .groupBy("node")
+        .agg(F.min("dst").alias("hot_parent"), F.ceil(F.count(F.lit(1)) / limit).cast("bigint").alias("parts"))
+    )
+    return candidates.join(F.broadcast(parents), "node", "left")
+
+
 def _rewrite(linked: DataFrame) -> DataFrame:
     """``above`` is the parent of ``dst``, null where ``dst`` is a root."""
     is_link = F.col("dst") == F.col("parent")
