@@ -25,9 +25,9 @@ from edgetables.functions.ids import big
 MAX_GROUP_ROWS = 8_000_000  # two longs per row: 128 MB, one ordinary partition
 MAX_HOT_KEYS = 10_000
 MAX_RANGED_KEYS = 1_000  # ranged parts also carry their cut points
-# Items the sketch keeps.  It misses no key with more than n / 18,700 of n rows,
-# so none above the limit.
-SKETCH_ITEMS = 65_536
+# Items the sketch keeps.  It misses no key with more than n / 37,400 of n rows,
+# so none above the limit, also where both ends of n / 2 pairs are counted.
+SKETCH_ITEMS = 131_072
 SKETCH_FAN_IN = 64
 
 
