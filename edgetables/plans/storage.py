@@ -6,30 +6,20 @@ job and in columnar form, and it outlives lost executors.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 
-_local_roots: dict[str, str] = {}
-
-
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
+    """The folder named by ``spark.checkpoint.dir``, or one under the warehouse folder.
 
-    Where the setting is missing, a local session gets a temporary folder; on a
-    cluster, where a machine's own folder is no use, it is an error.
+    Both are folders that a cluster shares; a machine's own temporary folder is
+    never used.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     root = root or context.getCheckpointDir()
-    if root:
-        return root
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if context.applicationId not in _local_roots:
-        _local_roots[context.applicationId] = tempfile.mkdtemp(prefix="edgetables-")
-    return _local_roots[context.applicationId]
+    return root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.edgetables"
 
 
 class Workspace:
