@@ -47,6 +47,22 @@ def write_file(uri: str, content: bytes) -> None:
     files.move(trial, path)
 
 
+def arrow_schema(columns: str):
+    """The Arrow schema of a list of columns as in a table definition; for use on the driver."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(columns))
+
+
+def batch_of(rows: list[tuple], schema):
+    """An Arrow batch from rows."""
+    import pyarrow as pa
+
+    columns = zip(*rows) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, field.type) for c, field in zip(columns, schema)], schema=schema)
+
+
 def chunks_of(texts: list[str], most: int = CHUNK_CHARS):
     """Slices ``(start, end)`` of a list, each of about ``most`` characters; one long text makes one slice."""
     start, size = 0, 0

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from edgetables.llm.common import Folder
+from edgetables.llm.common import Folder, arrow_schema, batch_of
 from edgetables.llm.tokens import encoder
 
 WINDOW = 2048
@@ -75,16 +75,10 @@ def pack(
         "doc_id", (F.col("before") + F.col("local_start")).alias("at"), "doc_tokens", "ids"
     )
 
-    def cut(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-
-        def out(rows):
-            columns = zip(*rows) if rows else [[] for _ in names]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+    columns = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
+    schema = arrow_schema(columns)
 
+    def cut(batches: Iterator) -> Iterator:
         for batch in batches:
             rows, held = [], 0
             for i in range(batch.num_rows):
@@ -96,13 +90,11 @@ def pack(
                     rows.append((doc, low - at, high - low, piece, size, sequence, low - sequence * window))
                     held += len(piece)
                     if held > PIECE_BYTES:
-                        yield out(rows)
+                        yield batch_of(rows, schema)
                         rows, held = [], 0
-            yield out(rows)
+            yield batch_of(rows, schema)
 
-    return located.mapInArrow(
-        cut, "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
-    )
+    return located.mapInArrow(cut, columns)
 
 
 def sequences(pieces: DataFrame, window: int = WINDOW, pad_id: int = PAD_ID) -> DataFrame:

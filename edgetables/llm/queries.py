@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from edgetables.llm import packing, token_file
+from edgetables.llm import embed_dedup, packing, token_file, topk, warc
 from edgetables.registry.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,58 @@ def _(spark, sf_dir):
     folder = token_file.write_token_files(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
     read = token_file.read_token_files(spark, folder.uri)
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query(
+    "op4_warc_revisits",
+    "WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages), "
+    "h AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha1(body) AS payload_digest FROM p), "
+    "o AS (SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 "
+    "THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS original FROM h) "
+    "SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, "
+    "CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type, "
+    "CASE WHEN page_id = original THEN NULL ELSE original END AS refers_to FROM o",
+)
+def _(spark, sf_dir):
+    folder = warc.write_warc(table(spark, sf_dir, "pages"))
+    read = warc.resolve_revisits(warc.read_records(spark, folder.uri))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SOUND_SQL = (
+    "embedding IS NOT NULL AND len(embedding) > 0 AND "
+    "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+)
+
+
+@query(
+    "op7_bit_sliced_topk",
+    "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS c "
+    f"FROM embeddings WHERE {SOUND_SQL}), "
+    "s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.c, v.c) AS BIGINT) AS score "
+    "FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0), "
+    "r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, "
+    "vec_id, score FROM s) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5",
+)
+def _(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
+@query(
+    "op10_near_embeddings",
+    "WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS c, "
+    "sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS size "
+    f"FROM embeddings WHERE {SOUND_SQL}), "
+    "e AS (SELECT a.vec_id AS src, b.vec_id AS dst FROM v a JOIN v b ON a.vec_id <> b.vec_id "
+    "WHERE a.size > 0 AND b.size > 0 AND list_dot_product(a.c, b.c) >= 0.9 * a.size * b.size), "
+    "cc(node, comp) USING KEY (node) AS (SELECT src, least(src, min(dst)) FROM e GROUP BY src UNION "
+    "SELECT e.src, min(c.comp) FROM e JOIN cc c ON c.node = e.dst JOIN recurring.cc r ON r.node = e.src "
+    "WHERE c.comp < r.comp GROUP BY e.src), "
+    "n AS (SELECT src, count(*) AS n_links FROM e GROUP BY src) "
+    "SELECT m.vec_id, coalesce(n_links, 0) AS n_links, coalesce(comp, m.vec_id) AS component_id, "
+    "m.vec_id = coalesce(comp, m.vec_id) AS kept FROM embeddings m LEFT JOIN n ON n.src = m.vec_id "
+    "LEFT JOIN cc ON cc.node = m.vec_id",
+)
+def _(spark, sf_dir):
+    return embed_dedup.near_links(table(spark, sf_dir, "embeddings"))
