@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from edgetables.llm import embed_dedup, packing, token_file, topk, warc
+from edgetables.llm import embed_dedup, langid, packing, token_file, topk, warc
 from edgetables.registry.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,11 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     return embed_dedup.near_links(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_language_id")
+def _(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    model = langid.train(documents.filter(~langid.held_out()))
+    guessed = langid.predict(documents.select("doc_id", "text"), model)
+    return guessed.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
