@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from edgetables.llm import embed_dedup, langid, packing, token_file, topk, warc
+from edgetables.llm import embed_dedup, langid, minhash, packing, token_file, topk, warc
 from edgetables.registry.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,27 @@ def _(spark, sf_dir):
     model = langid.train(documents.filter(~langid.held_out()))
     guessed = langid.predict(documents.select("doc_id", "text"), model)
     return guessed.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query(
+    "op2_minhash_components",
+    "WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), "
+    "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words "
+    "FROM documents), "
+    "g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 4 THEN list_transform(range(1, len(words) - 2), "
+    "lambda i: words[i:i + 3]) WHEN len(words) > 0 THEN [words] ELSE [] END) AS shingle FROM w), "
+    "n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id), "
+    "s AS (SELECT shingle, list(doc_id) AS docs FROM g GROUP BY shingle HAVING count(*) > 1), "
+    "p AS (SELECT a.doc_id AS src, b.doc_id AS dst, count(*) AS common FROM g a JOIN g b ON a.shingle = b.shingle "
+    "AND a.doc_id <> b.doc_id WHERE a.shingle IN (SELECT shingle FROM s) GROUP BY ALL), "
+    "e AS (SELECT src, dst FROM p JOIN n x ON x.doc_id = src JOIN n y ON y.doc_id = dst "
+    "WHERE 100 * common >= 80 * (x.n + y.n - common)), "
+    "cc(node, comp) USING KEY (node) AS (SELECT src, least(src, min(dst)) FROM e GROUP BY src UNION "
+    "SELECT e.src, min(c.comp) FROM e JOIN cc c ON c.node = e.dst JOIN recurring.cc r ON r.node = e.src "
+    "WHERE c.comp < r.comp GROUP BY e.src) "
+    "SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(comp, d.doc_id) AS component_id, "
+    "d.doc_id = coalesce(comp, d.doc_id) AS kept FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id "
+    "LEFT JOIN cc ON cc.node = d.doc_id",
+)
+def _(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4)
