@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from edgetables.llm import embed_dedup, langid, minhash, packing, token_file, topk, warc
+from edgetables.llm import embed_dedup, langid, minhash, packing, pii, token_file, topk, warc
 from edgetables.registry.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,18 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
+@query("op1_personal_data")
+def _(spark, sf_dir):
+    found = pii.find(table(spark, sf_dir, "documents"), ["doc_id"])
+    kinds = [
+        F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{kind}")
+        for k, kind in enumerate(pii.KINDS)
+    ]
+    return found.select(
+        "doc_id",
+        *kinds,
+        F.sha2(pii.span_names("base"), 256).alias("base_sha256"),
+        pii.span_names("spans").alias("spans"),
+    )
