@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from edgetables.llm import embed_dedup, langid, minhash, packing, pii, token_file, topk, warc
+from edgetables.llm import embed_dedup, html_text, langid, minhash, packing, pii, token_file, topk, warc
 from edgetables.registry.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,8 @@ def _(spark, sf_dir):
         F.sha2(pii.span_names("base"), 256).alias("base_sha256"),
         pii.span_names("spans").alias("spans"),
     )
+
+
+@query("op8_main_text")
+def _(spark, sf_dir):
+    return html_text.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
