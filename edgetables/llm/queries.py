@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from edgetables.llm import embed_dedup, html_text, langid, minhash, packing, pii, token_file, topk, warc
+import corpus_pipeline
+from edgetables.llm import embed_dedup, html_text, langid, minhash, packing, pii, token_file, topk, unigram, warc
 from edgetables.registry.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +150,20 @@ def _(spark, sf_dir):
 @query("op8_main_text")
 def _(spark, sf_dir):
     return html_text.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+@query("op9_unigram_pieces")
+def _(spark, sf_dir):
+    """Size and checksum of the ids of every text, and what decoding them gives."""
+    path = tokenizer("piece_bpe_32k.model")
+    read = unigram.decode(unigram.encode(table(spark, sf_dir, "documents"), path), path)
+    return read.select(
+        "doc_id",
+        (F.length("ids") / 4).cast("bigint").alias("n_pieces"),
+        F.crc32("ids").alias("ids_crc32"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+        F.length("text").cast("bigint").alias("n_chars"),
+    )
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
