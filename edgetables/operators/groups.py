@@ -2,15 +2,17 @@
 
 A neighbour group is all rows with one ``src``.  A single node may own a third
 of all rows, so no operator here relies on a whole group fitting one task:
-minima are combined map-side, and where rows of a group must meet, groups above
-a row limit are split into salted parts (see :mod:`edgetables.plans.hot_groups`).
+minima are combined map-side; where rows of a group must meet, groups above a
+row limit are split into salted parts (:mod:`edgetables.plans.hot_groups`), and
+where their order counts they are split into ranges (:mod:`edgetables.plans.ordered`).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from edgetables.plans.hot_groups import ranged_groups, salted_groups
+from edgetables.plans.hot_groups import salted_groups
+from edgetables.plans.ordered import null_safe_join, ordered_groups
 
 def min_neighbour(pairs: DataFrame) -> DataFrame:
     """``(src, min_dst)``: smallest neighbour per node."""
@@ -58,49 +60,39 @@ def secondary_sort(pairs: DataFrame) -> DataFrame:
     return pairs.repartitionByRange("src", "dst").sortWithinPartitions("src", "dst")
 
 
-def rank_in_group(
-    rows: DataFrame,
-    keys: list[str],
-    order: list[str],
-    n_rows: int | None = None,
-    max_group_rows: int | None = None,
-) -> DataFrame:
-    """Add ``row_num``, the rank by ``order`` within ``keys``.
+def rank_in_group(rows: DataFrame, keys: list[str], order: list[str], partitions: int | None = None) -> DataFrame:
+    """Add ``row_num``, the rank by ``order`` within ``keys``; null keys are a group, null values come first.
 
-    Large groups are ranked in consecutive ranges of the first order column,
-    each starting after the rows of the ranges before it.
+    Rows that tie in all order columns get consecutive ranks in no particular order.
     """
-    ranged = ranged_groups(rows, keys, order[0], n_rows, max_group_rows)
-    in_order = Window.partitionBy(*keys, *ranged.extra_keys).orderBy(*order)
-    row_num = F.row_number().over(in_order) + ranged.rows_before
-    return ranged.rows.select(*rows.columns, row_num.alias("row_num"))
+    groups = ordered_groups(rows, keys, order, partitions=partitions)
+    row_num = F.row_number().over(Window.partitionBy(*groups.part_keys).orderBy(*order)) + groups.before
+    return groups.rows.select(*rows.columns, row_num.alias("row_num"))
 
 
-def secondary_sort_rank(
-    pairs: DataFrame, n_rows: int | None = None, max_group_rows: int | None = None
-) -> DataFrame:
+def secondary_sort_rank(pairs: DataFrame, partitions: int | None = None) -> DataFrame:
     """``(src, dst, row_num, min_dst)``: rank by ``dst`` and first neighbour per node.
 
     Pairs are taken as a set.
     """
-    ranged = ranged_groups(pairs.select("src", "dst").distinct(), ["src"], "dst", n_rows, max_group_rows)
-    by_dst = Window.partitionBy("src", *ranged.extra_keys).orderBy("dst")
-    return ranged.rows.select(
+    groups = ordered_groups(pairs.select("src", "dst").distinct(), ["src"], ["dst"], partitions=partitions)
+    by_dst = Window.partitionBy(*groups.part_keys).orderBy("dst")
+    return groups.rows.select(
         "src",
         "dst",
-        (F.row_number().over(by_dst) + ranged.rows_before).alias("row_num"),
-        F.coalesce(ranged.hot_min, F.first("dst").over(by_dst)).alias("min_dst"),
+        (F.row_number().over(by_dst) + groups.before).alias("row_num"),
+        F.coalesce(groups.least, F.first("dst").over(by_dst)).alias("min_dst"),
     )
 
 
 def next_in_group(
-    rows: DataFrame, keys: list[str], order: list[str], item: str, max_group_rows: int | None = None
+    rows: DataFrame, keys: list[str], order: list[str], item: str, partitions: int | None = None
 ) -> DataFrame:
     """``(src, dst)``: each item with the one that follows it in its group.
 
     Neighbouring ranks are joined, so that the rows of a large group spread.
     """
-    ranked = rank_in_group(rows, keys, order, None, max_group_rows)
+    ranked = rank_in_group(rows, keys, order, partitions)
     here = ranked.select(*keys, "row_num", F.col(item).alias("src"))
     after = ranked.select(*keys, (F.col("row_num") - 1).alias("row_num"), F.col(item).alias("dst"))
-    return here.join(after, [*keys, "row_num"]).select("src", "dst")
+    return null_safe_join(here, after, [*keys, "row_num"], "inner").select("src", "dst")

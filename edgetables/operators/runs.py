@@ -7,31 +7,31 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from edgetables.functions.ids import big, int_div
-from edgetables.plans.hot_groups import ranged_groups
+from edgetables.plans.ordered import null_safe_join, ordered_groups
+from edgetables.sources.runs import RUN_COLUMNS
 
 RUN_KEYS = ["algo", "graph"]
+# The columns that name a graph in a run table, and what a missing time is written as.
 GRAPH_KEYS = ["graph_type", "n_nodes", "n_edges", "n_components"]
 MISSING = -1.0
 
 
-def exact_median(
-    rows: DataFrame, keys: list[str], value: str, n_rows: int | None = None, max_group_rows: int | None = None
-) -> DataFrame:
+def exact_median(rows: DataFrame, keys: list[str], value: str, partitions: int | None = None) -> DataFrame:
     """``(keys, median)``: middle value of each group, the mean of two for an even size.
 
-    Values are counted first and then walked in order, so repeated values cost
-    nothing; groups with too many different values are walked range by range.
+    Null keys are a group; a group without a value has a null median.  Values are
+    counted first and then walked in order, so repeated values cost nothing.
     """
-    counted = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("copies"))
-    ranged = ranged_groups(counted, keys, value, n_rows, max_group_rows, weight="copies")
-    group = Window.partitionBy(*keys, *ranged.extra_keys)
+    counted = rows.groupBy(*keys, value).agg(F.count(value).alias("copies"))
+    groups = ordered_groups(counted, keys, [value], "copies", partitions)
+    group = Window.partitionBy(*groups.part_keys)
     so_far = group.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = ranged.rows.select(
+    placed = groups.rows.select(
         *keys,
         value,
         "copies",
-        (F.sum("copies").over(so_far) + ranged.rows_before).alias("last"),
-        F.coalesce(ranged.hot_size, F.sum("copies").over(group)).alias("size"),
+        (F.sum("copies").over(so_far) + groups.before).alias("last"),
+        F.coalesce(groups.total, F.sum("copies").over(group)).alias("size"),
     )
 
     def value_at(rank):
@@ -41,9 +41,7 @@ def exact_median(
     return placed.groupBy(*keys).agg(((value_at(lower) + value_at(upper)) / 2).alias("median"))
 
 
-def run_stats(
-    runs: DataFrame, stdev: str = "sample", n_rows: int | None = None, max_group_rows: int | None = None
-) -> DataFrame:
+def run_stats(runs: DataFrame, stdev: str = "sample", partitions: int | None = None) -> DataFrame:
     """Per (algo, graph): times of the successful runs and counts by outcome.
 
     Times are 0 and iterations -1 where no run succeeded; the sample standard
@@ -64,16 +62,27 @@ def run_stats(
         (timeouts > 0).cast("int").alias("timed_out"),
         (errors > 0).cast("int").alias("error"),
     )
-    medians = exact_median(runs.filter(ok), RUN_KEYS, "wall_s", n_rows, max_group_rows)
-    return counts.join(medians, RUN_KEYS, "left").select(
+    medians = exact_median(runs.select(*RUN_KEYS, time.alias("wall_s")), RUN_KEYS, "wall_s", partitions)
+    return null_safe_join(counts, medians, RUN_KEYS).select(
         *RUN_KEYS,
         F.coalesce("median", F.lit(0.0)).alias("median_time_s"),
         *[c for c in counts.columns if c not in RUN_KEYS],
     )
 
 
-def runs_pivot(runs: DataFrame, algos: list[str] | None = None) -> DataFrame:
-    """One row per graph, one column per algorithm with its average mean time, -1 where missing."""
+def runs_table(stats: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Rows of a run table: summaries of :func:`run_stats` with what the catalog says about their graph.
+
+    ``catalog`` has a column ``graph`` beside the ones of a graph catalog, once per
+    graph; a graph that it lacks leaves them null.
+    """
+    facts = catalog.select("graph", *GRAPH_KEYS, "diameter")
+    joined = stats.join(facts, "graph", "left")
+    return joined.select(*[F.col(name).cast(kind).alias(name) for name, kind in RUN_COLUMNS.items()])
+
+
+def runs_pivot(runs: DataFrame, algos: list[str]) -> DataFrame:
+    """One row per graph, one column for each of ``algos`` with its average mean time, -1 where missing."""
     table = runs.groupBy(*GRAPH_KEYS).pivot("algo", algos).agg(F.avg("mean_time_s"))
     return table.fillna(MISSING, [c for c in table.columns if c not in GRAPH_KEYS])
 

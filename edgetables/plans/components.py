@@ -14,18 +14,19 @@ from edgetables.plans.fixed_point import MAX_ITERATIONS, FixedPoint, fixed_point
 from edgetables.plans.steps import step_join, step_list, step_window
 from edgetables.plans.storage import Workspace
 
+
 class Strategy(NamedTuple):
     step: Callable[..., DataFrame]
-    growth: int  # most rows the step emits per pair
     distinct: bool  # whether the loop has to drop copies for it
 
 
 STRATEGIES = {
-    "contract": Strategy(step_contract, 1, False),
-    "window": Strategy(step_window, 2, True),
-    "join": Strategy(step_join, 2, True),
-    "list": Strategy(step_list, 2, True),
+    "contract": Strategy(step_contract, False),
+    "window": Strategy(step_window, True),
+    "join": Strategy(step_join, True),
+    "list": Strategy(step_list, True),
 }
+ID_TYPES = ("tinyint", "smallint", "int", "bigint")
 
 
 @dataclass
@@ -43,7 +44,6 @@ def find_components(
     edges: DataFrame,
     strategy: str = "contract",
     max_iterations: int = MAX_ITERATIONS,
-    checkpoint_every: int = 1,
     on_limit: str = "raise",
     max_group_rows: int | None = None,
     **step_options,
@@ -52,29 +52,35 @@ def find_components(
 
     The edges are read once and stored canonical, which fixes their number.
     Self-loops and edges with one null end only tell that a node
-    exists; they are kept aside and join the labels at the end.
+    exists; they are kept aside and join the labels at the end.  Ids are whole
+    numbers; hash others first.
     """
-    step, growth, distinct = STRATEGIES[strategy]
+    kinds = dict(edges.dtypes)
+    if wrong := {end: kinds.get(end) for end in ("src", "dst") if kinds.get(end) not in ID_TYPES}:
+        raise TypeError(f"ids must be whole numbers, not {wrong}")
+    step, distinct = STRATEGIES[strategy]
     workspace = Workspace(edges.sparkSession)
     low, high = F.least("src", "dst"), F.greatest("src", "dst")  # a null end yields the other one twice
-    canonical = edges.select(high.alias("src"), low.alias("dst"))
+    canonical = edges.select(high.cast("bigint").alias("src"), low.cast("bigint").alias("dst"))
     if distinct:
         canonical = canonical.dropDuplicates()
     is_pair, is_lonely = F.col("src") != F.col("dst"), F.col("src") == F.col("dst")  # neither holds for two nulls
-    stored, seen = workspace.write(
-        canonical,
-        "edges",
-        F.count_if(is_pair).alias("pairs"),
-        F.count_if(is_lonely).alias("lonely"),
-    )
+    try:
+        stored, seen = workspace.write(
+            canonical,
+            "edges",
+            F.count_if(is_pair).alias("pairs"),
+            F.count_if(is_lonely).alias("lonely"),
+        )
+    except BaseException:
+        workspace.close()
+        raise
     run = fixed_point(
         stored.filter(is_pair),
         lambda pairs, n: step(pairs, n, max_group_rows, **step_options),
         seen["pairs"],
         max_iterations,
-        checkpoint_every,
         on_limit,
-        growth,
         distinct,
         workspace,
     )
@@ -83,14 +89,20 @@ def find_components(
         lonely = stored.filter(is_lonely).select(F.col("src").alias("node"), F.col("dst").alias("component"))
     else:
         workspace.drop("edges")
-    return Components(run.pairs, run.iterations, run.converged, run.metrics, lonely)
+    return Components(run.pairs, run.iterations, run.converged, run.metrics, workspace, lonely)
+
+
+def _finished(edges: DataFrame, strategy: str, options: dict) -> Components:
+    if "on_limit" in options:
+        raise TypeError("an unfinished result needs find_components, which marks it")
+    return find_components(edges, strategy, **options)
 
 
 def component_pairs(edges: DataFrame, strategy: str = "contract", **options) -> DataFrame:
     """Star pairs ``(src, dst)``: every node but the roots with its root."""
-    return find_components(edges, strategy, **options).pairs
+    return _finished(edges, strategy, options).pairs
 
 
 def connected_components(edges: DataFrame, strategy: str = "contract", **options) -> DataFrame:
     """``(node, component)`` for every node of ``edges``, roots and lonely nodes included."""
-    return find_components(edges, strategy, **options).labels()
+    return _finished(edges, strategy, options).labels()

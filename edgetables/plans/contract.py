@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from edgetables.functions.ids import big
-from edgetables.plans.hot_groups import MAX_HOT_KEYS, heavy_items, row_limit
+from edgetables.plans.hot_groups import MAX_GROUP_ROWS, join_hot
 
 MAX_BROADCAST_ROWS = 500_000  # two longs per row: 8 MB
 SPREAD = 65_536  # salts for rows that must not meet
@@ -34,64 +34,53 @@ def step_contract(pairs: DataFrame, n_pairs: int | None = None, max_group_rows:
     copies combined ahead of the shuffle.
     """
     n_pairs = pairs.count() if n_pairs is None else n_pairs
-    limit = row_limit(n_pairs, max_group_rows, MAX_HOT_KEYS)
+    limit = max_group_rows or MAX_GROUP_ROWS
     if n_pairs > limit:
-        return _rewrite(_linked_around_hot_nodes(pairs, limit))
+        return _rewrite(_linked_around_hot_nodes(pairs, n_pairs, limit))
 
     in_order = Window.partitionBy("src").orderBy("dst")
     linked = pairs.select(
         "src", "dst", F.first("dst").over(in_order).alias("parent"), F.lag("dst").over(in_order).alias("before")
     ).filter("before is null or before < dst")
-    above = _parents(pairs).withColumnsRenamed({"src": "dst", "parent": "above"})
+    above = _parents(pairs).select(F.col("src").alias("dst"), F.col("parent").alias("above"))
     above = F.broadcast(above) if n_pairs <= MAX_BROADCAST_ROWS else above.hint("shuffle_hash")
     return _rewrite(linked.join(above, "dst", "left"))
 
 
 def _parents(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("src").agg(F.min("dst").alias("parent"))
+    return pairs.groupBy("src").agg(F.min("dst").alias("parent"), F.count(F.lit(1)).alias("size"))
 
 
-def _linked_around_hot_nodes(pairs: DataFrame, limit: int) -> DataFrame:
+def _linked_around_hot_nodes(pairs: DataFrame, n_pairs: int, limit: int) -> DataFrame:
     """Pairs with the parents of both ends, rows of hot nodes spread over many tasks.
 
-    Hot nodes, whether hot as upper or as lower end, get their parents from a
-    broadcast table.  Their rows go through the window in salted parts, and
-    through the join under salts that match nothing.
+    Hot nodes, as upper or as lower end, get their parents from a small table.
+    Their rows go through the window in salted parts, and through the join under
+    salts that match nothing.
     """
-    hot = _hot_nodes(pairs, limit)
-    upper = hot.select(F.col("node").alias("src"), "hot_parent", "parts")
-    lower = hot.select(F.col("node").alias("dst"), F.col("hot_parent").alias("hot_above"), F.lit(True).alias("hot"))
+    above = _parents(pairs)
+    upper = above.filter(F.col("size") > limit).select(
+        "src", F.col("parent").alias("hot_parent"), F.ceil(F.col("size") / limit).cast("bigint").alias("parts")
+    )
+    lower = (
+        pairs.groupBy("dst")
+        .agg(F.count(F.lit(1)).alias("size"))
+        .filter(F.col("size") > limit)
+        .select("dst", F.lit(True).alias("hot"))
+        .join(above.select(F.col("src").alias("dst"), F.col("parent").alias("hot_above")), "dst", "left")
+    )
     part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("dst"), F.col("parts"))).otherwise(big(0))
     salt = F.when(F.col("hot"), 1 + F.pmod(F.xxhash64("src"), big(SPREAD))).otherwise(big(0))
-    known = (
-        pairs.dropDuplicates()
-        .join(F.broadcast(upper), "src", "left")
-        .join(F.broadcast(lower), "dst", "left")
-        .select("src", "dst", "hot_parent", "hot_above", part.alias("part"), salt.alias("salt"))
-    )
+    known = join_hot(join_hot(pairs.dropDuplicates(), upper, "src", n_pairs, limit), lower, "dst", n_pairs, limit)
+    known = known.select("src", "dst", "hot_parent", "hot_above", part.alias("part"), salt.alias("salt"))
     lowest = F.min("dst").over(Window.partitionBy("src", "part"))
     linked = known.select("src", "dst", "hot_above", "salt", F.coalesce("hot_parent", lowest).alias("parent"))
-    above = _parents(pairs).select(
-        F.col("src").alias("dst"), F.col("parent").alias("cold_above"), big(0).alias("salt")
-    )
-    return linked.join(above, ["dst", "salt"], "left").select(
+    cold = above.select(F.col("src").alias("dst"), F.col("parent").alias("cold_above"), big(0).alias("salt"))
+    return linked.join(cold, ["dst", "salt"], "left").select(
         "src", "dst", "parent", F.coalesce("hot_above", "cold_above").alias("above")
     )
 
 
-def _hot_nodes(pairs: DataFrame, limit: int) -> DataFrame:
-    """``(node, hot_parent, parts)`` of all nodes that may be hot as either end; no parent means root."""
-    ends = pairs.select(F.explode(F.array("src", "dst")).alias("node"))
-    candidates = heavy_items(ends, F.col("node")).withColumnRenamed("item", "node")
-    parents = (
-        pairs.withColumnRenamed("src", "node")
-        .join(F.broadcast(candidates), "node", "left_semi")
-        .groupBy("node")
-        .agg(F.min("dst").alias("hot_parent"), F.ceil(F.count(F.lit(1)) / limit).cast("bigint").alias("parts"))
-    )
-    return candidates.join(F.broadcast(parents), "node", "left")
-
-
 def _rewrite(linked: DataFrame) -> DataFrame:
     """``above`` is the parent of ``dst``, null where ``dst`` is a root."""
     is_link = F.col("dst") == F.col("parent")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -20,12 +21,27 @@ class NotConverged(RuntimeError):
 
 @dataclass
 class FixedPoint:
-    """Result of a loop; ``metrics`` holds one entry per stored generation."""
+    """Result of a loop; ``metrics`` holds one entry per stored generation, with its seconds.
+
+    The pairs are read from a stored table: ``close()``, or leaving the result as
+    a context, removes it.
+    """
 
     pairs: DataFrame
     iterations: int
     converged: bool
     metrics: list[dict] = field(default_factory=list)
+    workspace: Workspace | None = None
+
+    def __enter__(self) -> FixedPoint:
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.close()
+
+    def close(self) -> None:
+        if self.workspace:
+            self.workspace.close()
 
 
 def fixed_point(
@@ -33,40 +49,36 @@ def fixed_point(
     step: Step,
     n_pairs: int | None = None,
     max_iterations: int = MAX_ITERATIONS,
-    checkpoint_every: int = 1,
     on_limit: str = "raise",
-    growth: int = 2,
     distinct: bool = True,
     workspace: Workspace | None = None,
 ) -> FixedPoint:
     """Apply ``step`` and deduplicate until no row is flagged new.
 
     ``step(pairs, n)`` gets an upper bound ``n`` of the pairs it reads.  Every
-    ``checkpoint_every`` steps the pairs are stored and the stop test is made;
-    the older generation is then dropped.  At the fixed point a step changes
-    nothing, so steps past it are harmless.  A step may emit ``growth`` rows per
-    pair, by default one per direction; ``distinct=False`` is for steps that
-    drop the copies in their input themselves.  ``on_limit="return"`` hands back
-    the unfinished pairs instead of raising.
+    generation is stored, its stop test is made on the way, and the one before is
+    dropped.  ``distinct=False`` is for steps that drop the copies in their input
+    themselves.  ``on_limit="return"`` hands back the unfinished pairs, marked as
+    such, instead of raising.  Whatever raises leaves no table behind.
     """
     workspace = workspace or Workspace(pairs.sparkSession)
-    bound = pairs.count() if n_pairs is None else n_pairs
-    done, metrics, stored = 0, [], None
-    while done < max_iterations:
-        steps = min(checkpoint_every, max_iterations - done)
-        for _ in range(steps):
+    try:
+        bound = pairs.count() if n_pairs is None else n_pairs
+        metrics, stored = [], None
+        for done in range(1, max_iterations + 1):
+            began = time.perf_counter()
             flagged = dedup_flagged(step(pairs, bound)) if distinct else step(pairs, bound)
-            pairs = flagged.select("src", "dst")
-            bound *= growth
-        done += steps
-        name = f"pairs-{done}"
-        pairs, seen = workspace.write(flagged, name, *metric_columns(), columns=["src", "dst"])
-        if stored:
-            workspace.drop(stored)
-        stored, bound = name, seen["pair_count"]
-        metrics.append({"iteration": done, **seen})
-        if seen["new_pairs"] == 0:
-            return FixedPoint(pairs, done, True, metrics)
-    if on_limit == "raise":
-        raise NotConverged(f"pairs still change after {max_iterations} iterations")
-    return FixedPoint(pairs, done, False, metrics)
+            name = f"pairs-{done}"
+            pairs, seen = workspace.write(flagged, name, *metric_columns(), columns=["src", "dst"])
+            if stored:
+                workspace.drop(stored)
+            stored, bound = name, seen["pair_count"]
+            metrics.append({"iteration": done, **seen, "seconds": time.perf_counter() - began})
+            if seen["new_pairs"] == 0:
+                return FixedPoint(pairs, done, True, metrics, workspace)
+        if on_limit == "raise":
+            raise NotConverged(f"pairs still change after {max_iterations} iterations")
+        return FixedPoint(pairs, max_iterations, False, metrics, workspace)
+    except BaseException:
+        workspace.close()
+        raise

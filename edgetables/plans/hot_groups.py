@@ -2,33 +2,27 @@
 
 Grouping rows by a key sends all rows of that key to one task.  The helpers
 below leave ordinary groups alone and split *hot* ones, those above a row limit,
-into parts near the limit.  The whole-group facts a part cannot see on its own
-(minimum, size, rows before it) travel in a small broadcast table.
-
-The limit is never below ``n_rows / max_hot_keys``, so fewer than
-``max_hot_keys`` keys can exceed it: the size of the broadcast table is bounded
-whatever the data looks like.  With ``n_rows`` within the limit no group can
-exceed it, and the rows are passed through without looking for hot keys.
-
-Candidates come from a frequent-items sketch, which costs a scan but no shuffle
-of the rows; their sizes and minima are then computed exactly.
+into parts near the limit.  The whole-group facts a part cannot see on its own,
+its minimum and size, come from an aggregate that combines rows before they are
+shuffled.
+
+The limit is a number of rows and does not depend on the table.  A table of n
+rows has fewer than n / limit hot groups.  Up to ``MAX_HOT_KEYS`` of them travel
+in a broadcast table; if there may be more, they are joined by shuffle, where
+adaptive execution splits the skewed keys.  A table within the limit cannot
+hold a hot group and is passed through.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from edgetables.functions.ids import big
 
 MAX_GROUP_ROWS = 8_000_000  # two longs per row: 128 MB, one ordinary partition
-MAX_HOT_KEYS = 10_000
-MAX_RANGED_KEYS = 1_000  # ranged parts also carry their cut points
-# Items the sketch keeps.  It misses no key with more than n / 37,400 of n rows,
-# so none above the limit, also where both ends of n / 2 pairs are counted.
-SKETCH_ITEMS = 131_072
-SKETCH_FAN_IN = 64
+MAX_HOT_KEYS = 200_000  # three longs each: 5 MB
 
 
 @dataclass
@@ -39,12 +33,11 @@ class SplitGroups:
     extra_keys: list[str] = field(default_factory=list)
     part: Column = field(default_factory=lambda: F.lit(0))
     hot_min: Column = field(default_factory=lambda: F.lit(None).cast("bigint"))
-    hot_size: Column = field(default_factory=lambda: F.lit(None).cast("bigint"))
-    rows_before: Column = field(default_factory=lambda: big(0))
 
 
-def row_limit(n_rows: int, max_group_rows: int | None, max_hot_keys: int) -> int:
-    return max(max_group_rows or MAX_GROUP_ROWS, -(-n_rows // max_hot_keys))
+def join_hot(rows: DataFrame, hot: DataFrame, key: str, n_rows: int, limit: int) -> DataFrame:
+    """Left join with a table of hot groups, broadcast if their number allows it."""
+    return rows.join(F.broadcast(hot) if n_rows // limit <= MAX_HOT_KEYS else hot, key, "left")
 
 
 def salted_groups(
@@ -59,12 +52,11 @@ def salted_groups(
     """
     if n_rows is None:
         n_rows = pairs.count()
-    limit = row_limit(n_rows, max_group_rows, MAX_HOT_KEYS)
+    limit = max_group_rows or MAX_GROUP_ROWS
     if n_rows <= limit:
         return SplitGroups(pairs)
 
-    hot = hot_groups(pairs, limit)
-    rows = pairs.join(F.broadcast(hot), "src", "left")
+    rows = join_hot(pairs, hot_groups(pairs, limit), "src", n_rows, limit)
     if drop_roots:
         rows = rows.filter(F.col("hot_min").isNull() | (F.col("hot_min") < F.col("src")))
     salt = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("salts")), big(0))
@@ -73,106 +65,11 @@ def salted_groups(
     )
 
 
-def heavy_items(rows: DataFrame, item: Column) -> DataFrame:
-    """``(item)``: every value of a bigint column that may exceed the limit, and some that do not.
-
-    Sketches are merged in two levels, so that no task merges more than a share
-    of them.  One row with at most ``2 * MAX_HOT_KEYS`` items reaches the driver.
-    """
-    merged = (
-        rows.select(item.alias("item"), F.pmod(F.spark_partition_id(), F.lit(SKETCH_FAN_IN)).alias("lane"))
-        .groupBy("lane")
-        .agg(F.expr(f"approx_top_k_accumulate(item, {SKETCH_ITEMS})").alias("sketch"))
-        .agg(F.expr(f"approx_top_k_combine(sketch, {SKETCH_ITEMS})").alias("sketch"))
-        .select(F.expr(f"approx_top_k_estimate(sketch, {2 * MAX_HOT_KEYS}).item").alias("items"))
-    )
-    items = merged.first()["items"] or []
-    return rows.sparkSession.createDataFrame([(i,) for i in items], "item bigint")
-
-
 def hot_groups(pairs: DataFrame, limit: int) -> DataFrame:
     """``(src, hot_min, salts)`` of the groups with more than ``limit`` rows."""
-    hashed = pairs.select("src", "dst", F.xxhash64("src").alias("item"))
     return (
-        hashed.join(F.broadcast(heavy_items(hashed, F.col("item"))), "item", "left_semi")
-        .groupBy("src")
+        pairs.groupBy("src")
         .agg(F.count(F.lit(1)).alias("size"), F.min("dst").alias("hot_min"))
         .filter(F.col("size") > limit)
         .select("src", "hot_min", F.ceil(F.col("size") / limit).cast("bigint").alias("salts"))
     )
-
-
-def ranged_groups(
-    rows: DataFrame,
-    keys: list[str],
-    order: str,
-    n_rows: int | None = None,
-    max_group_rows: int | None = None,
-    weight: str | None = None,
-) -> SplitGroups:
-    """Split hot groups into consecutive ranges of the ``order`` column.
-
-    Rows with equal ``(keys, order)`` share a part, so few should be equal;
-    ``weight`` says for how many original rows each one stands.  ``rows_before`` is the weight of the ranges
-    to the left, so ranks and running sums carry on across ranges.
-    """
-    if n_rows is None:
-        n_rows = rows.count()
-    limit = row_limit(n_rows, max_group_rows, MAX_RANGED_KEYS)
-    if n_rows <= limit:
-        return SplitGroups(rows)
-
-    weight_col = F.col(weight) if weight else big(1)
-    hashed = rows.withColumn("item", F.xxhash64(*keys))
-    sizes = (
-        hashed.join(F.broadcast(heavy_items(hashed, F.col("item"))), "item", "left_semi")
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("hot_rows"))
-        .filter(F.col("hot_rows") > limit)
-    )
-    most_cuts = -(-n_rows // limit)
-    steps = F.array(*[F.lit(i / most_cuts) for i in range(1, most_cuts)])
-    wanted = F.ceil(F.col("hot_rows") / limit).cast("int")
-    hot = (
-        rows.join(F.broadcast(sizes), keys)
-        .groupBy(*keys)
-        .agg(
-            F.first("hot_rows").alias("hot_rows"),
-            F.sum(weight_col).alias("hot_size"),
-            F.min(order).alias("hot_min"),
-            F.percentile_approx(order, steps, 100 * most_cuts).alias("all_cuts"),
-        )
-        .withColumn(
-            "cuts",
-            F.transform(
-                F.sequence(F.lit(1), wanted - 1),
-                lambda i: F.element_at("all_cuts", F.greatest(F.lit(1), (i * (most_cuts - 1) / wanted).cast("int"))),
-            ),
-        )
-        .select(*keys, "hot_size", "hot_min", "cuts")
-    )
-    # Approximate cut points may come out differently when computed again, and
-    # counts and ranks must use the same ones: fix them.  At most
-    # MAX_RANGED_KEYS rows come back.
-    session = rows.sparkSession
-    hot = session.createDataFrame(hot.collect(), hot.schema)
-    part = F.coalesce(F.size(F.filter("cuts", lambda cut: cut < F.col(order))), F.lit(0))
-    tagged = rows.join(F.broadcast(hot), keys, "left").withColumn(
-        "range_no", F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(part)
-    )
-    earlier = Window.partitionBy(*keys).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
-    before = (
-        tagged.filter(F.col("cuts").isNotNull())
-        .groupBy(*keys, "range_no")
-        .agg(F.sum(weight_col).alias("range_size"))
-        .select(*keys, "range_no", F.coalesce(F.sum("range_size").over(earlier), big(0)).alias("rows_before"))
-    )
-    placed = tagged.join(F.broadcast(before), [*keys, "range_no"], "left").drop("cuts")
-    return SplitGroups(
-        placed,
-        ["range_no"],
-        F.col("range_no"),
-        F.col("hot_min"),
-        F.col("hot_size"),
-        F.coalesce("rows_before", big(0)),
-    )

@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, or one under the warehouse folder.
 
@@ -23,11 +24,26 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """A folder of its own for the tables of one run."""
+    """A folder of its own for the tables of one run.
+
+    ``close()``, or leaving it as a context, removes the folder with all its
+    tables; a folder that nobody closes goes when the driver's JVM ends.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.path = f"{checkpoint_root(spark).rstrip('/')}/edgetables-{uuid.uuid4().hex}"
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.close()
+
+    def close(self) -> None:
+        self._delete(self.path)
 
     def table(self, name: str) -> str:
         return f"{self.path}/{name}"
@@ -47,5 +63,8 @@ class Workspace:
 
     def drop(self, name: str) -> None:
         """Remove a table that no later step reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.table(name))
+        self._delete(self.table(name))
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -11,10 +11,10 @@ from edgetables.operators import edges as E, groups as G, pairs as P
 from edgetables.plans.contract import step_contract
 from edgetables.plans.steps import step_join, step_list, step_window
 from edgetables.registry.base import query, table
-from edgetables.registry.graphs import EDGE_SQL, OFFSET, cust_orders, event_chain, order_part, part_supp, same_doc
+from edgetables.registry.graphs import EDGE_SQL, cust_orders, event_chain, order_part, part_supp, same_doc
 from edgetables.sources.edge_lists import edges_from
 
-BLOCK = 10_000_000_000
+BLOCK = 2**56  # line numbers are below 2**7, ids below the block
 COMMUNITIES = 7
 
 
@@ -94,9 +94,10 @@ def _(spark, sf_dir):
     return E.union_distinct(order_part(spark, sf_dir), cust_orders(spark, sf_dir))
 
 
-@query("edges_from", f"SELECT CAST(s_nationkey AS BIGINT) AS src, s_suppkey + {OFFSET} AS dst FROM supplier")
+@query("edges_from", "SELECT CAST(s_nationkey AS BIGINT) - 100 AS src, CAST(s_suppkey AS BIGINT) AS dst FROM supplier")
 def _(spark, sf_dir):
-    return edges_from(table(spark, sf_dir, "supplier"), "s_nationkey", "s_suppkey", dst_offset=OFFSET)
+    """Nation keys are below 100."""
+    return edges_from(table(spark, sf_dir, "supplier"), "s_nationkey", "s_suppkey", src_offset=-100)
 
 
 @query("min_neighbour", both_ways("part_supp", "SELECT src, min(dst) AS min_dst FROM s GROUP BY src"))
@@ -173,8 +174,7 @@ def _(spark, sf_dir):
     return step_window(event_chain(spark, sf_dir))
 
 
-@query(
-    "step_contract",
+CONTRACT_SQL = (
     with_edges(
         "order_part",
         "p AS (SELECT DISTINCT greatest(src, dst) AS src, least(src, dst) AS dst FROM e WHERE src <> dst), "
@@ -185,11 +185,19 @@ def _(spark, sf_dir):
         "CASE WHEN dst = parent AND above IS NULL THEN 0 ELSE 1 END AS n FROM l) "
         "SELECT greatest(x, y) AS src, least(x, y) AS dst, CAST(max(n) AS INTEGER) AS is_new FROM r "
         "WHERE x <> y GROUP BY greatest(x, y), least(x, y)",
-    ),
+    )
 )
-def _(spark, sf_dir):
-    pairs = E.normalize_edges(order_part(spark, sf_dir)).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return P.dedup_flagged(step_contract(pairs))
+
+
+# The split form takes the plan of very large tables: groups above a few rows count as hot.
+for name, limit in (("step_contract", None), ("step_contract_split", 20)):
+
+    @query(name, CONTRACT_SQL)
+    def _(spark, sf_dir, limit=limit):
+        pairs = E.normalize_edges(order_part(spark, sf_dir)).select(
+            F.col("dst").alias("src"), F.col("src").alias("dst")
+        )
+        return P.dedup_flagged(step_contract(pairs, None, limit))
 
 
 @query(
@@ -220,11 +228,11 @@ def _(spark, sf_dir):
 @query(
     "attach_labels",
     "SELECT c_custkey AS node, coalesce(m.component, c_custkey) AS component FROM customer LEFT JOIN "
-    f"(SELECT o_custkey, min(o_orderkey) - {OFFSET} AS component FROM orders GROUP BY o_custkey) m "
+    "(SELECT o_custkey, -1 - min(o_orderkey) AS component FROM orders GROUP BY o_custkey) m "
     "ON m.o_custkey = c_custkey",
 )
 def _(spark, sf_dir):
     nodes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"))
     firsts = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("first"))
-    labels = firsts.select(F.col("o_custkey").alias("node"), (F.col("first") - OFFSET).alias("component"))
+    labels = firsts.select(F.col("o_custkey").alias("node"), (-1 - F.col("first")).alias("component"))
     return P.attach_labels(nodes, labels)

@@ -1,6 +1,6 @@
 """Edge tables derived from the given tables, over all their rows, and the same in SQL.
 
-The offset keeps the ids of the two sides of a bipartite graph apart.
+The two sides of a bipartite graph have even and odd ids, so they cannot collide.
 """
 
 from __future__ import annotations
@@ -13,22 +13,20 @@ from edgetables.operators.groups import next_in_group, with_group_min
 from edgetables.registry.base import table
 from edgetables.sources.edge_lists import edges_from
 
-OFFSET = 1_000_000_000
-
 
 def cust_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many small stars: each customer with its orders."""
-    return edges_from(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", dst_offset=OFFSET)
+    return edges_from(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", two_sided=True)
 
 
 def order_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with their parts, repeated lines included: one sparse giant component."""
-    return edges_from(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", dst_offset=OFFSET)
+    return edges_from(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", two_sided=True)
 
 
 def part_supp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts with their suppliers, as often as they sold: one dense giant component."""
-    return edges_from(table(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey", dst_offset=OFFSET)
+    return edges_from(table(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey", two_sided=True)
 
 
 def event_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,9 +51,9 @@ GRAPHS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 EDGE_SQL = {
-    "cust_orders": f"SELECT CAST(o_custkey AS BIGINT) AS src, {OFFSET} + o_orderkey AS dst FROM orders",
-    "order_part": f"SELECT CAST(l_orderkey AS BIGINT) AS src, {OFFSET} + l_partkey AS dst FROM lineitem",
-    "part_supp": f"SELECT CAST(l_partkey AS BIGINT) AS src, {OFFSET} + l_suppkey AS dst FROM lineitem",
+    "cust_orders": "SELECT 2 * CAST(o_custkey AS BIGINT) AS src, 2 * CAST(o_orderkey AS BIGINT) + 1 AS dst FROM orders",
+    "order_part": "SELECT 2 * CAST(l_orderkey AS BIGINT) AS src, 2 * CAST(l_partkey AS BIGINT) + 1 AS dst FROM lineitem",
+    "part_supp": "SELECT 2 * CAST(l_partkey AS BIGINT) AS src, 2 * CAST(l_suppkey AS BIGINT) + 1 AS dst FROM lineitem",
     "event_chain": (
         "SELECT src, dst FROM (SELECT event_id AS src, lead(event_id) OVER "
         "(PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events) WHERE dst IS NOT NULL"

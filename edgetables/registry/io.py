@@ -25,6 +25,13 @@ def _(spark, sf_dir):
     return read_edge_list(spark, f"{path}/*.gz")
 
 
+@query("edge_list_gzip_folder", EDGE_SQL["order_part"])
+def _(spark, sf_dir):
+    path = Workspace(spark).table("edges")
+    write_edge_list(order_part(spark, sf_dir), path, compression="gzip")
+    return read_edge_list(spark, path)
+
+
 @query(
     "edge_list_dropmalformed",
     "SELECT l_orderkey AS src, l_partkey AS dst FROM lineitem WHERE l_returnflag IN ('A', 'R')",
@@ -50,7 +57,10 @@ def _(spark, sf_dir):
     "CAST(-1 AS BIGINT) AS n_components, count(DISTINCT o_custkey) AS diameter FROM orders GROUP BY o_orderpriority",
 )
 def _(spark, sf_dir):
-    """One file per order priority, with its counts as header lines; edges and components stay undeclared."""
+    """One file per order priority with its counts as header lines; edges and components stay undeclared.
+
+    The edges themselves lie beside it, in files of any number.
+    """
     orders = table(spark, sf_dir, "orders")
     counts = orders.groupBy("o_orderpriority").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("o_custkey").alias("d")
@@ -61,11 +71,12 @@ def _(spark, sf_dir):
         F.concat(F.lit("# note: "), "n"),
         F.concat(F.lit("# diameter: "), "d"),
     )
-    lines = counts.select("o_orderpriority", F.explode(header).alias("value")).unionByName(
-        orders.select("o_orderpriority", F.concat_ws(" ", "o_custkey", "o_orderkey").alias("value"))
-    )
-    path = Workspace(spark).table("graphs")
-    lines.repartition("o_orderpriority").write.partitionBy("o_orderpriority").text(path)
+    folder = Workspace(spark)
+    edges = orders.select("o_orderpriority", F.concat_ws(" ", "o_custkey", "o_orderkey").alias("value"))
+    edges.write.partitionBy("o_orderpriority").text(folder.table("edges"))
+    heads = counts.select("o_orderpriority", F.explode(header).alias("value"))  # four lines per graph
+    path = folder.table("graphs")
+    heads.repartition("o_orderpriority").write.partitionBy("o_orderpriority").text(path)
     return read_graph_catalog(spark, f"{path}/*/*.txt").drop("path")
 
 
@@ -88,17 +99,17 @@ def _(spark, sf_dir):
     return read_graph_meta(spark, f"{path}.meta").drop("path")
 
 
-@query(
-    "runs_roundtrip",
+ROUNDTRIP_SQL = (
     "SELECT l_returnflag AS algo, l_linestatus AS graph_type, l_partkey AS n_nodes, l_suppkey AS n_edges, "
     "CAST(l_linenumber AS BIGINT) AS n_components, CAST(NULL AS INTEGER) AS diameter, l_quantity AS median_time_s, "
     "l_extendedprice AS mean_time_s, l_discount AS stdev_time_s, CAST(NULL AS INTEGER) AS iterations, "
     "l_linenumber AS successful_runs, 0 AS timeout_runs, l_linenumber AS n_runs, 0 AS timed_out, 0 AS error "
-    "FROM lineitem",
+    "FROM lineitem"
 )
-def _(spark, sf_dir):
-    """Written in the older form, without diameter and iterations."""
-    runs = table(spark, sf_dir, "lineitem").select(
+
+
+def line_table(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(
         F.col("l_returnflag").alias("algo"),
         F.col("l_linestatus").alias("graph_type"),
         F.col("l_partkey").alias("n_nodes"),
@@ -113,6 +124,26 @@ def _(spark, sf_dir):
         F.lit(0).alias("timed_out"),
         F.lit(0).alias("error"),
     )
+
+
+@query("runs_roundtrip", ROUNDTRIP_SQL)
+def _(spark, sf_dir):
+    """Written in the older form, without diameter and iterations."""
     path = Workspace(spark).table("runs")
-    write_runs(runs, path)
+    write_runs(line_table(spark, sf_dir), path)
     return read_runs(spark, path)
+
+
+@query(
+    "runs_mixed_headers",
+    f"WITH r AS ({ROUNDTRIP_SQL}) SELECT * FROM r UNION ALL "
+    "SELECT * REPLACE (CAST(n_runs AS INTEGER) AS diameter, 5 AS iterations) FROM r WHERE algo = 'R'",
+)
+def _(spark, sf_dir):
+    """Files of both forms under one path."""
+    path = Workspace(spark).table("runs")
+    runs = line_table(spark, sf_dir)
+    write_runs(runs, f"{path}/old")
+    newer = runs.filter("algo = 'R'").withColumns({"diameter": F.col("n_runs"), "iterations": F.lit(5)})
+    write_runs(newer, f"{path}/new")
+    return read_runs(spark, f"{path}/*")

@@ -9,6 +9,8 @@ from edgetables.functions.text import HEADER_KEYS, header_key, header_value, id_
 
 MODES = ("failfast", "dropmalformed")
 UNKNOWN_TYPE = "unknown"
+GZIP_RATIO = 4  # of edge lists, about
+PARTITION_BYTES = 128 * 1024 * 1024
 # What a missing header entry means.
 HEADER_DEFAULTS = {"n_nodes": 0, "n_edges": 0, "n_components": -1, "diameter": -1}
 
@@ -20,8 +22,8 @@ def read_edge_list(
 
     Tokens after the second are ignored.  A line without two ids raises, or is
     left out with ``mode="dropmalformed"``.  Compressed files are read as they
-    are; gzip files do not split, so their rows are dealt to ``partitions``
-    partitions, by default as many as the cluster runs tasks at once.
+    are; gzip files do not split, so where there are any the rows are dealt to
+    ``partitions`` partitions, by default as many as their bytes ask for.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
@@ -34,9 +36,15 @@ def read_edge_list(
         problem = F.raise_error(F.concat(F.lit("not an edge: "), F.col("value"))).cast("boolean")
         is_edge = F.when(is_edge, F.lit(True)).otherwise(problem)
     edges = rows.filter(is_edge).select("src", "dst")
-    if path.endswith(".gz") or partitions:
-        edges = edges.repartition(partitions or spark.sparkContext.defaultParallelism)
-    return edges
+    partitions = partitions or _gzip_partitions(spark, path)
+    return edges.repartition(partitions) if partitions else edges
+
+
+def _gzip_partitions(spark: SparkSession, path: str) -> int:
+    """Partitions for the contents of the gzip files under ``path``; 0 if there are none."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    packed = files.filter(F.col("path").endswith(".gz")).agg(F.sum("length").alias("bytes")).first()["bytes"] or 0
+    return -(-packed * GZIP_RATIO // PARTITION_BYTES)
 
 
 def write_edge_list(edges: DataFrame, path: str, meta: dict | None = None, compression: str | None = None) -> None:
@@ -82,12 +90,21 @@ def read_graph_catalog(spark: SparkSession, path: str) -> DataFrame:
 
 
 def edges_from(
-    table: DataFrame, src: str | Column, dst: str | Column, src_offset: int = 0, dst_offset: int = 0
+    table: DataFrame,
+    src: str | Column,
+    dst: str | Column,
+    src_offset: int = 0,
+    dst_offset: int = 0,
+    two_sided: bool = False,
 ) -> DataFrame:
-    """Two key columns of any table as edges; offsets keep the id ranges of the ends apart."""
+    """Two key columns of any table as edges.
+
+    ``two_sided`` keeps the ends apart whatever their ids: ``src`` becomes even,
+    ``dst`` odd.  Offsets are for ranges that are known not to meet.
+    """
 
-    def end(key: str | Column, offset: int) -> Column:
-        key = F.col(key) if isinstance(key, str) else key
-        return key.cast("bigint") + big(offset)
+    def end(key: str | Column, offset: int, side: int) -> Column:
+        key = (F.col(key) if isinstance(key, str) else key).cast("bigint")
+        return 2 * key + big(side) if two_sided else key + big(offset)
 
-    return table.select(end(src, src_offset).alias("src"), end(dst, dst_offset).alias("dst"))
+    return table.select(end(src, src_offset, 0).alias("src"), end(dst, dst_offset, 1).alias("dst"))

@@ -3,7 +3,8 @@ from pyspark.sql import SparkSession
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")
     session = (
         SparkSession.builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "4")
@@ -11,6 +12,8 @@ def spark():
         .config("spark.driver.memory", "8g")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", f"{shared}/checkpoints")
+        .config("spark.sql.warehouse.dir", f"{shared}/warehouse")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )

@@ -1,3 +1,4 @@
+import pathlib
 import random
 
 import pytest
@@ -16,6 +17,7 @@ from edgetables import (
     nodes,
     step_window,
 )
+from edgetables.plans.storage import checkpoint_root
 from tests.reference_labels import labels
 
 STRATEGIES = ["contract", "window", "join", "list"]
@@ -91,19 +93,38 @@ def test_star_pairs_leave_out_roots_and_are_stable(edges):
     assert sorted(tuple(r) for r in again.collect()) == sorted(rows)
 
 
-@pytest.mark.parametrize("checkpoint_every", [2, 3])
-def test_steps_between_checkpoints(edges, checkpoint_every):
-    run = find_components(edges(CASES["shuffled_path"]), checkpoint_every=checkpoint_every)
-    assert run.converged and run.iterations % checkpoint_every == 0
-    assert found(run.labels()) == labels(CASES["shuffled_path"])
+def tables_left(spark):
+    root = pathlib.Path(checkpoint_root(spark))
+    return {p.name for p in root.glob("edgetables-*")} if root.exists() else set()
+
+
+def test_no_table_is_left_after_close_or_failure(spark, edges):
+    before = tables_left(spark)
+    with find_components(edges([*CASES["sparse"], (7, 7)])) as run:
+        assert len(tables_left(spark)) == len(before) + 1 and run.labels().count() > 0
+    with pytest.raises(NotConverged):
+        connected_components(edges(CASES["shuffled_path"]), max_iterations=1)
+    assert tables_left(spark) == before
+
+
+@pytest.mark.parametrize("limit", [None, 5])
+def test_other_ids_are_refused_at_every_size(spark, limit):
+    rows = spark.createDataFrame([("a", "b")] * 9, "src string, dst string")
+    with pytest.raises(TypeError, match="whole numbers"):
+        connected_components(rows, max_group_rows=limit)
+    small = spark.createDataFrame([(1, 2), (2, 3)], "src int, dst smallint")
+    assert found(connected_components(small, max_group_rows=limit)) == {1: 1, 2: 1, 3: 1}
 
 
 def test_iteration_limit_raises_or_returns(edges):
     rows = edges(CASES["shuffled_path"])
     with pytest.raises(NotConverged):
         connected_components(rows, max_iterations=1)
+    with pytest.raises(TypeError, match="find_components"):
+        connected_components(rows, max_iterations=1, on_limit="return")
     run = find_components(rows, max_iterations=1, on_limit="return")
     assert not run.converged and run.iterations == 1 and run.metrics[0]["new_pairs"] > 0
+    assert run.metrics[0]["seconds"] > 0
 
 
 def test_contracting_never_grows_the_table(edges):

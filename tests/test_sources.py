@@ -35,6 +35,7 @@ def test_gzip_is_spread(spark, tmp_path):
     frame = read_edge_list(spark, str(tmp_path / "web.txt.gz"), partitions=3)
     assert frame.rdd.getNumPartitions() == 3
     assert pairs(frame) == [(i, i + 1) for i in range(500)]
+    assert read_edge_list(spark, str(tmp_path)).rdd.getNumPartitions() == 1
 
 
 def test_edge_list_and_meta_round_trip(spark, edges, tmp_path):
@@ -78,20 +79,32 @@ def test_run_tables_of_both_forms(spark, tmp_path):
         read_runs(spark, str(tmp_path / "bad.csv"))
 
 
-def session_like(master, setting=None, context_dir=None):
+def session_like(setting=None, context_dir=None):
     context = SimpleNamespace(
-        master=master,
-        applicationId=f"app-{master}",
         getConf=lambda: SimpleNamespace(get=lambda key: setting if key == "spark.checkpoint.dir" else None),
         getCheckpointDir=lambda: context_dir,
     )
-    return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: default))
+    conf = {"spark.sql.warehouse.dir": "s3a://shared/warehouse/"}
+    return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default=None: conf.get(key, default)))
 
 
 def test_checkpoint_folder_comes_from_the_session():
-    assert checkpoint_root(session_like("spark://m:7077", "s3a://shared/cp")) == "s3a://shared/cp"
-    assert checkpoint_root(session_like("spark://m:7077", None, "hdfs://cp/1")) == "hdfs://cp/1"
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        checkpoint_root(session_like("spark://m:7077"))
-    local = checkpoint_root(session_like("local[2]"))
-    assert "edgetables-" in local and local == checkpoint_root(session_like("local[2]"))
+    assert checkpoint_root(session_like("s3a://shared/cp")) == "s3a://shared/cp"
+    assert checkpoint_root(session_like(None, "hdfs://cp/1")) == "hdfs://cp/1"
+    assert checkpoint_root(session_like()) == "s3a://shared/warehouse/.edgetables"
+
+
+def test_run_tables_with_different_headers_side_by_side(spark, tmp_path):
+    (tmp_path / "old.csv").write_text(OLD)
+    new = OLD.replace("n_components,", "n_components,diameter,").replace("10,9,1,", "10,9,1,9,")
+    (tmp_path / "new.csv").write_text(new)
+    rows = read_runs(spark, str(tmp_path)).collect()
+    assert sorted((r["diameter"] or 0, r["n_nodes"], r["median_time_s"]) for r in rows) == [(0, 10, 1.5), (9, 10, 1.5)]
+    (tmp_path / "none.csv").write_text("df,chain,10\n")
+    with pytest.raises(Exception, match="no header line"):
+        read_runs(spark, str(tmp_path)).collect()
+
+
+def test_ids_of_two_sides_never_meet(spark):
+    frame = spark.createDataFrame([(5, 5), (-3, 2**40)], "a long, b long")
+    assert pairs(edges_from(frame, "a", "b", two_sided=True)) == [(-6, 2**41 + 1), (10, 11)]

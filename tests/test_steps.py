@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from edgetables.operators import edges as E, groups as G, pairs as P
 from edgetables.plans.contract import step_contract
-from edgetables.plans.hot_groups import MAX_HOT_KEYS, hot_groups, row_limit, salted_groups
+from edgetables.plans import hot_groups as H
+from edgetables.plans.hot_groups import hot_groups, salted_groups
+from edgetables.plans.ordered import ordered_groups
 from edgetables.plans.steps import step_join, step_list, step_window
 from tests.reference_labels import one_step
 
@@ -52,10 +54,11 @@ def test_hot_groups_are_found_exactly_and_split(edges):
     assert kept.filter("src = 0").count() == 0 and kept.filter("src = 50").count() == 41
 
 
-def test_row_limit_bounds_the_number_of_hot_keys():
-    for n_rows in (10, 10**9, 10**13):
-        assert n_rows / row_limit(n_rows, 100, MAX_HOT_KEYS) <= MAX_HOT_KEYS
-    assert row_limit(5, None, MAX_HOT_KEYS) == 8_000_000
+def test_many_hot_groups_are_joined_by_shuffle(edges, monkeypatch):
+    pairs = E.symmetrize(edges(ROWS["hub"]))
+    want = sorted(tuple(r) for r in G.with_group_min(pairs).collect())
+    monkeypatch.setattr(H, "MAX_HOT_KEYS", 0)
+    assert sorted(tuple(r) for r in G.with_group_min(pairs, None, 7).collect()) == want
 
 
 @pytest.mark.parametrize("limit", [None, 7])
@@ -75,9 +78,9 @@ def test_neighbour_lists_and_group_minima(edges, limit):
     assert len(minima) == pairs.count() and all(r["min_dst"] == min(want[r["src"]]) for r in minima)
 
 
-@pytest.mark.parametrize("limit", [None, 7])
-def test_ranks(edges, limit):
-    ranked = G.secondary_sort_rank(E.symmetrize(edges(ROWS["hub"] * 2)), None, limit).collect()
+@pytest.mark.parametrize("partitions", [None, 1, 11])
+def test_ranks(edges, partitions):
+    ranked = G.secondary_sort_rank(E.symmetrize(edges(ROWS["hub"] * 2)), partitions).collect()
     groups = {}
     for row in ranked:
         groups.setdefault(row["src"], []).append((row["row_num"], row["dst"], row["min_dst"]))
@@ -89,11 +92,31 @@ def test_ranks(edges, limit):
     assert len(groups[50]) == 41
 
 
-@pytest.mark.parametrize("limit", [None, 9])
-def test_next_in_group(spark, limit):
+@pytest.mark.parametrize("partitions", [1, 3, 16])
+def test_rank_of_text_ties_and_null_keys(spark, partitions):
+    rows = [(None if i % 3 else "k", str(i * 7 % 90), i % 4, i) for i in range(240)]
+    frame = spark.createDataFrame(rows, "k string, word string, tie int, id int")
+    got = {r["id"]: r["row_num"] for r in G.rank_in_group(frame, ["k"], ["word", "tie", "id"], partitions).collect()}
+    want = {}
+    for key in (None, "k"):
+        for n, row in enumerate(sorted(r[1:] for r in rows if r[0] == key), 1):
+            want[row[2]] = n
+    assert got == want
+
+
+def test_a_group_that_ties_spreads_over_partitions(spark):
+    frame = spark.createDataFrame([("k", 1, i) for i in range(400)], "k string, tie int, id int")
+    groups = ordered_groups(frame, ["k"], ["tie"], partitions=8)
+    assert groups.rows.groupBy(groups.part_keys[-1]).count().agg(F.max("count")).first()[0] < 200
+    ranks = [r["row_num"] for r in G.rank_in_group(frame, ["k"], ["tie"], 8).collect()]
+    assert sorted(ranks) == list(range(1, 401))
+
+
+@pytest.mark.parametrize("partitions", [None, 1, 9])
+def test_next_in_group(spark, partitions):
     rows = [(g, (i * 37) % 101, g * 1000 + i) for g, n in ((1, 60), (2, 3), (3, 1)) for i in range(n)]
     frame = spark.createDataFrame(rows, "g int, at int, item bigint")
-    got = {tuple(r) for r in G.next_in_group(frame, ["g"], ["at", "item"], "item", limit).collect()}
+    got = {tuple(r) for r in G.next_in_group(frame, ["g"], ["at", "item"], "item", partitions).collect()}
     want = set()
     for g in (1, 2, 3):
         items = [item for _, item in sorted((at, item) for gg, at, item in rows if gg == g)]
