@@ -18,8 +18,20 @@ from edgetables.llm.common import chunks_of
 WHITE = (
     "\t-\r \u0085   -     　"
 )
-REMEMBERED = 800_000
+REMEMBERED = 600_000
 LONG_WORD = 64
+#: A word of Latin letters that normalising leaves alone or lower-cases letter by letter, and at most one mark.
+SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]{1,64})([.,]?)").fullmatch
+
+
+def _byte_names() -> list[str]:
+    """How byte-level vocabularies spell a byte: itself if it prints, else the next character from U+0100 on."""
+    prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = iter(range(0x100, 0x200))
+    return [chr(byte if byte in prints else next(spare)) for byte in range(256)]
+
+
+BYTE_NAMES = _byte_names()
 
 _encoders: dict[tuple[str, bool], WordEncoder] = {}
 
@@ -54,6 +66,10 @@ class WordEncoder:
         ).search
         self.known: dict[str, bytes] = {}  # of a word with the blank, if any, that it follows
         self.exact: dict[str, bytes] = {}  # of a piece as it stands
+        self.stems: dict[str, bytes] = {}
+        self.marks = {
+            mark: array("I", self.library.encode(mark, add_special_tokens=False).ids).tobytes() for mark in ("", ".", ",")
+        }
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -85,9 +101,25 @@ class WordEncoder:
     def _learn(self, known: dict[str, bytes], used: set[str], before: str) -> None:
         if len(known) + len(used) > REMEMBERED:
             known.clear()
-        new = list(used - known.keys())
-        for i in range(0, len(new), 4096):
-            words = new[i : i + 4096]
-            asked = [word if word[0] == "\n" else before + word for word in words] if before else words
-            for word, found in zip(words, self.library.encode_batch_fast(asked, add_special_tokens=False)):
-                known[word] = array("I", found.ids).tobytes()
+        new = used - known.keys()
+        if known is self.known:
+            if len(self.stems) + len(new) > REMEMBERED:
+                self.stems.clear()
+            for word in new:
+                if match := SIMPLE(word):
+                    stem, mark = match.groups()
+                    if (ids := self.stems.get(stem)) is None:
+                        ids = self.stems[stem] = self._word(stem)
+                    known[word] = ids + self.marks[mark]
+            new = new - known.keys()
+        words = list(new)
+        asked = [word if word[0] == "\n" else before + word for word in words] if before else words
+        for i in range(0, len(words), 4096):
+            found = self.library.encode_batch_fast(asked[i : i + 4096], add_special_tokens=False)
+            for word, one in zip(words[i : i + 4096], found):
+                known[word] = array("I", one.ids).tobytes()
+
+    def _word(self, stem: str) -> bytes:
+        """Ids of a word of Latin letters, which is one pre-token: the merges alone, without the steps before them."""
+        plain = "".join(map(BYTE_NAMES.__getitem__, (" " + stem if self.white_matters else stem.lower()).encode()))
+        return array("I", [token.id for token in self.library.model.tokenize(plain)]).tobytes()
