@@ -63,13 +63,33 @@ def read_graph_meta(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"path string, graph_type string, {fields}").json(path)
 
 
-def read_graph_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """One row per text file: what its ``# key: value`` lines say about the graph.
+def read_graph_catalog(spark: SparkSession, path: str, meta: str | None = None) -> DataFrame:
+    """One row per text file: what is known of its graph.
 
-    Unknown keys are ignored and missing ones get defaults, for files without
-    any header line too.
+    Files whose folder has a metadata table under ``meta`` (a glob of tables
+    written by :func:`write_edge_list`) take its entries and are not read.  The
+    others are scanned for ``# key: value`` lines; unknown keys are ignored and
+    missing ones get defaults, for files without any header line too.
     """
     files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path"))
+    if meta is None:
+        return _scanned_catalog(spark, path, files)
+    known = read_graph_meta(spark, meta).withColumn("folder", _plain_path(F.col("path"))).drop("path")
+    by_folder = files.withColumn("folder", _plain_path(F.regexp_replace("path", "/[^/]*$", "")))
+    described = by_folder.join(known, "folder").drop("folder")
+    # Spark lists the paths it reads on the driver as well.
+    rest = [row["path"] for row in by_folder.join(known, "folder", "left_anti").select("path").collect()]
+    if not rest:
+        return described
+    return described.unionByName(_scanned_catalog(spark, rest, files.filter(F.col("path").isin(rest))))
+
+
+def _plain_path(path: Column) -> Column:
+    """A path without its scheme and repeated or closing slashes."""
+    return F.regexp_replace(F.regexp_replace(path, "^[A-Za-z0-9+.-]+:/+|^/+", "/"), "/+$", "")
+
+
+def _scanned_catalog(spark: SparkSession, path: str | list[str], files: DataFrame) -> DataFrame:
     headers = (
         spark.read.text(path)
         .select(F.col("_metadata.file_path").alias("path"), "value")

@@ -54,6 +54,16 @@ def test_catalog_defaults_and_unknown_keys(spark, tmp_path):
     assert rows == {"a.txt": ("fixed_diameter", 10, 9, 1, 4), "b.txt": ("unknown", 0, 0, -1, -1)}
 
 
+def test_catalog_takes_metadata_tables_first(spark, edges, tmp_path):
+    write_edge_list(edges([(1, 2)]).coalesce(1), str(tmp_path / "g" / "a"), {"graph_type": "star", "n_nodes": 2})
+    (tmp_path / "g" / "b").mkdir()
+    (tmp_path / "g" / "b" / "part.txt").write_text("# graph_type: chain\n1 2\n")
+    rows = read_graph_catalog(spark, f"{tmp_path}/g/*/*.txt", f"{tmp_path}/g/*.meta").collect()
+    assert sorted((r["graph_type"], r["n_nodes"]) for r in rows) == [("chain", 0), ("star", 2)]
+    only = read_graph_catalog(spark, f"{tmp_path}/g/a/*.txt", f"{tmp_path}/g/*.meta").collect()
+    assert [r["graph_type"] for r in only] == ["star"]
+
+
 def test_edges_from_reads_two_columns_only(spark, tmp_path):
     spark.range(5).selectExpr("id", "id + 1 as b", "'x' as c").write.parquet(str(tmp_path / "t"))
     frame = edges_from(spark.read.parquet(str(tmp_path / "t")), "id", "b", dst_offset=100)
