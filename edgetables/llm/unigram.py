@@ -27,7 +27,8 @@ from edgetables.llm.common import chunks_of
 
 MARKER = "▁"
 UNKNOWN_PENALTY = 10.0  # below the smallest score, for each character written as bytes
-REMEMBERED = 600_000
+REMEMBERED = 200_000
+CHUNK = 1_000_000
 TOGETHER = 16_384  # words that pass the trie at once
 LONG_WORD = 64  # bytes; longer words are segmented alone and not remembered
 UNITS = re.compile(" *[^ ]+| +").findall
@@ -128,7 +129,7 @@ class Segmenter:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; an empty text has none."""
         out: list[bytes] = []
-        for start, end in chunks_of(texts):
+        for start, end in chunks_of(texts, CHUNK):
             split = [UNITS(" " + text) if text else [] for text in texts[start:end]]
             used = set(chain.from_iterable(split))
             if len(self.known) + len(used) > REMEMBERED:
