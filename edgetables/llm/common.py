@@ -18,6 +18,8 @@ class Folder:
         self.spark = spark
         path = spark._jvm.org.apache.hadoop.fs.Path(uri or f"{checkpoint_root(spark).rstrip('/')}/llm-{uuid.uuid4().hex}")
         self._files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if uri is None:
+            self._files.deleteOnExit(path)  # with the driver's JVM; results may be read until then
         qualified = self._files.makeQualified(path).toString()
         self.uri = qualified.replace("file:/", "file:///", 1) if qualified.startswith("file:/") else qualified
         self.uri = self.uri.replace("file://///", "file:///")

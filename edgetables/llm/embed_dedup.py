@@ -30,7 +30,7 @@ TILE_ROWS = 4096
 STRIPE_ROWS = 512
 SLACK = 1e-5  # more than rounding adds to the bound
 EXACT_SINGLE = 1040
-TILE = "tile int, dims int, ids binary, copies binary, codes binary, scales binary, errors binary, vectors binary"
+TILE = "tile bigint, dims int, ids binary, copies binary, codes binary, scales binary, errors binary, vectors binary"
 
 
 def quantise(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -150,7 +150,7 @@ def near_links(vectors: DataFrame, vector: str = "embedding", threshold: float =
             _units, codes, scales, errors = quantise(np.array(rows))
             columns = [np.array(ids), np.array(copies), codes, scales, errors, _units]
             made += 1
-            arrays = [pa.array([part * 10_000 + made], pa.int32()), pa.array([dims], pa.int32())]
+            arrays = [pa.array([(part << 32) + made], pa.int64()), pa.array([dims], pa.int32())]
             arrays += [pa.array([c.tobytes()], pa.binary()) for c in columns]
             return pa.RecordBatch.from_arrays(arrays, names=["tile", "dims", "ids", "copies", "codes", "scales", "errors", "vectors"])
 
