@@ -14,13 +14,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from edgetables.llm.common import Folder
 
-TOP_SLICES = 5
+TOP_SLICES = 7
 BLOCK_ROWS = 16_384
 LEAST_QUERIES, MOST_QUERIES = 256, 65_536  # in one task
 
@@ -44,6 +45,7 @@ def slices_of(codes: np.ndarray) -> tuple[int, np.ndarray]:
     return bits, np.packbits(planes, axis=-1, bitorder="little").view(np.uint64)
 
 
+@cache
 def signed_digits(n: int) -> list[tuple[int, int]]:
     """Non-adjacent form: ``n`` as a sum of ``digit * 2**shift``, digit 1 or -1."""
     out, shift = [], 0
@@ -57,23 +59,22 @@ def signed_digits(n: int) -> list[tuple[int, int]]:
     return out
 
 
-def add_columns(columns: list[list[np.ndarray]]) -> list[np.ndarray]:
-    """Slices of the sum of all bitmaps, those in ``columns[w]`` counting ``2**w``."""
-    out, weight = [], 0
-    while weight < len(columns):
-        column = columns[weight]
-        if len(columns) == weight + 1 and len(column) > 1:
-            columns.append([])
-        while len(column) > 2:
-            a, b, c = column.pop(), column.pop(), column.pop()
+def add_columns(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Slices of the sum of all bitmaps, the rows of ``columns[w]`` counting ``2**w``; thirds of a column are added at once."""
+    out, carried, weight = [], [], 0
+    while weight < len(columns) or carried:
+        x = np.concatenate([*columns[weight : weight + 1], *carried])
+        carried = []
+        while len(x) > 2:
+            k = len(x) // 3
+            a, b, c = x[:k], x[k : 2 * k], x[2 * k : 3 * k]
             both = a ^ b
-            column.insert(0, both ^ c)
-            columns[weight + 1].append((a & b) | (both & c))
-        if len(column) == 2:
-            a, b = column
-            column[:] = [a ^ b]
-            columns[weight + 1].append(a & b)
-        out.append(column[0] if column else None)
+            carried.append((a & b) | (both & c))
+            x = np.concatenate([both ^ c, x[3 * k :]])
+        if len(x) == 2:
+            carried.append(x[:1] & x[1:])
+            x = x[:1] ^ x[1:]
+        out.append(x[0] if len(x) else None)
         weight += 1
     return out
 
@@ -123,7 +124,9 @@ class Block:
         valid = np.zeros(words * 64, np.uint8)
         valid[: len(ids)] = 1
         self.valid = np.packbits(valid, bitorder="little").view(np.uint64)
-        self.inverse = ~bitmaps[:, self.low :]
+        upper = bitmaps[:, self.low :]
+        self.kept = upper.shape[1]
+        self.planes = np.concatenate([upper, ~upper]).reshape(-1, words)  # each slice as it is, then inverted
         self.order = np.argsort(ids, kind="stable")
         self.weights = np.array([1 << b for b in range(bits - 1)] + [-(1 << bits - 1)], np.int64)
 
@@ -134,20 +137,21 @@ class Block:
 
     def best(self, query: np.ndarray, own: int, k: int, floor: int | None) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, scores)`` of at least the k best rows whose score is ``floor`` or more."""
-        columns: list[list[np.ndarray]] = []
-        offset, top = 0, self.bits - 1
+        columns: list[list[int]] = []
+        offset, last = 0, self.kept - 1
+        inverted = len(self.planes) // 2
         for d in np.flatnonzero(query).tolist():
             for shift, digit in signed_digits(int(query[d])):
-                for b in range(self.low, self.bits):
-                    weight = shift + b - self.low
-                    while len(columns) <= weight:
-                        columns.append([])
-                    if (digit < 0) != (b == top):  # -x is (1 - x) - 1
-                        columns[weight].append(self.inverse[d, b - self.low])
-                        offset -= 1 << weight
+                while len(columns) < shift + self.kept:
+                    columns.append([])
+                for b in range(self.kept):
+                    plane = d * self.kept + b
+                    if (digit < 0) != (b == last):  # -x is (1 - x) - 1
+                        columns[shift + b].append(inverted + plane)
+                        offset -= 1 << shift + b
                     else:
-                        columns[weight].append(self.bitmaps[d, b])
-        sums = add_columns(columns)
+                        columns[shift + b].append(plane)
+        sums = add_columns([self.planes[column] for column in columns])
         rows = self.valid.copy()
         mine = np.searchsorted(self.ids, own, "left", sorter=self.order), np.searchsorted(self.ids, own, "right", sorter=self.order)
         for row in self.order[mine[0] : mine[1]].tolist():
