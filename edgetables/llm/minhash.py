@@ -1,23 +1,27 @@
 """Near-duplicate documents by b-bit MinHash.
 
-Every document gets the minima of 128 hash functions over its shingles.  Four
-full minima make a band, and documents that share a band meet.  What travels
-with a document is a packed signature of the low four bits of each minimum: equal
-bits are counted, corrected for the chance of one in sixteen that they agree by
+Every document gets the minima of 384 hash functions over its shingles.  Four
+full minima make a band, 32 bands take the first 128, and documents that share a
+band meet.  What travels with a document is a packed signature of the low four
+bits of all minima: equal bits are counted, corrected for the chance of one in sixteen that they agree by
 accident, and pairs far below the threshold go no further.  The others are
 confirmed on their full sets.  A pair at a similarity of 0.8 shares none of the
 32 bands with a chance of 5e-8.
 
 Groups of copies are never expanded into pairs.  Documents with one set are one
-node.  In a band the documents meet the smallest one of it; only bands
-whose documents are not yet connected go on with the next smallest.  What a few
-such rounds leave is compared exhaustively within the band, with the estimate
-as part of the join, so that only likely pairs leave it.
+node.  In a band all documents meet one of it, drawn by a hash, so a large group
+meets as many of its members as it shares bands; only bands whose documents
+are not yet connected go on with another draw.  What these rounds leave is
+compared exhaustively within the band, with the estimate and an exact bound, the
+shingles that a document shares with any other, as part of the join, so that only
+likely pairs leave it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -29,10 +33,12 @@ from edgetables.plans.components import connected_components
 WORDS = 5
 PERCENT = 80
 BANDS, ROWS, BITS = 32, 4, 4
-HASHES = BANDS * ROWS
+HASHES = 384  # the first BANDS * ROWS make the bands
 LANES = HASHES * BITS // 64  # 64-bit numbers of a packed signature
-ESTIMATE_MARGIN = 0.25  # seven standard deviations of the estimate at 0.8
-ROUNDS = 3
+ESTIMATE_MARGIN = 0.11  # more than five standard deviations of the estimate at 0.8
+FIRST_LANES = 8  # looked at first, with twice the margin, where very many pairs are compared
+ROUNDS = 2
+LEAST_TASKS = 64
 SIGNED = "doc_id bigint, n_shingles bigint, key1 bigint, key2 bigint, packed array<bigint>, bands array<bigint>"
 CHUNK = 1_000_000
 
@@ -40,7 +46,6 @@ _random = np.random.Generator(np.random.PCG64(19_970_611))
 _TIMES = _random.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _random.integers(0, 2**63, HASHES, dtype=np.uint64)
 _BAND = _random.integers(0, 2**63, (ROWS, BANDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_NIBBLE = np.arange(0, 64, BITS, dtype=np.uint64)
 
 
 def minima(sets: list[np.ndarray]) -> np.ndarray:
@@ -54,28 +59,33 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def packed(low: np.ndarray) -> np.ndarray:
-    """The low bits of the minima, sixteen to a 64-bit number."""
-    nibbles = (low & np.uint64(2**BITS - 1)).reshape(len(low), LANES, -1) << _NIBBLE
-    return np.bitwise_or.reduce(nibbles, axis=2).view(np.int64)
+    """The low bits of the minima: for every 64 hashes one 64-bit number per bit."""
+    bits = (low[:, None, :] >> np.arange(BITS, dtype=np.uint64)[:, None] & np.uint64(1)).astype(np.uint8)
+    planes = np.packbits(bits, axis=2, bitorder="little").view(np.int64)  # set, bit, group of hashes
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).reshape(len(low), LANES)
 
 
 def band_keys(low: np.ndarray) -> np.ndarray:
     """One number per band from its full minima; different bands have different numbers."""
-    sums = (low.reshape(len(low), BANDS, ROWS) * _BAND.T).sum(axis=2, dtype=np.uint64)
+    sums = (low[:, : BANDS * ROWS].reshape(len(low), BANDS, ROWS) * _BAND.T).sum(axis=2, dtype=np.uint64)
     return mixed(sums + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-def likely(one: str, other: str, percent: int) -> Column:
-    """Whether the packed signatures allow the similarity, by the bits that agree."""
+def likely(
+    one: list[Column], other: list[Column], percent: int, lanes: int = LANES, margin: float = ESTIMATE_MARGIN
+) -> Column:
+    """Whether the first lanes of two packed signatures allow the similarity, by the minima that agree in all bits."""
     differ = F.lit(0)
-    for k in range(LANES):
-        x = F.col(one)[k].bitwiseXOR(F.col(other)[k])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        differ = differ + F.bit_count(x)
+    for group in range(0, lanes, BITS):
+        odd = [one[k].bitwiseXOR(other[k]) for k in range(group, group + BITS)]
+        differ = differ + F.bit_count(reduce(Column.bitwiseOR, odd))
     chance = 2.0**-BITS
-    similarity = ((1 - differ / HASHES) - chance) / (1 - chance)
-    return similarity >= percent / 100 - ESTIMATE_MARGIN
+    least = chance + (1 - chance) * (percent / 100 - margin)  # share of minima that agree
+    return differ <= math.floor((1 - least) * lanes * 64 / BITS)
+
+
+def lanes_of(array: str) -> list[Column]:
+    return [F.col(array)[k] for k in range(LANES)]
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
@@ -116,10 +126,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
             step = max(1, CHUNK * batch.num_rows // max(1, batch.nbytes))
             for start in range(0, batch.num_rows, step):
                 some = slice(start, start + step)
-                others = shingle_sets(batch.column(3)[some].to_pylist(), words)
+                others = shingle_sets([text or "" for text in batch.column(3)[some].to_pylist()], words)
                 for k, found in enumerate(others, start):
-                    if src[k] != last:
-                        last, last_set = src[k], shingle_sets([batch.column(2)[k].as_py()], words)[0]
+                    text = batch.column(2)[k].as_py() or ""
+                    if text != last:
+                        last, last_set = text, shingle_sets([text], words)[0]
                     at = np.searchsorted(last_set, found)
                     at[at == len(last_set)] = 0
                     common = int((last_set[at] == found).sum()) if len(last_set) else 0
@@ -133,6 +144,37 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     return both.select("src", "dst", "src_text", "dst_text").mapInArrow(confirm, "src bigint, dst bigint")
 
 
+def shared_sizes(docs: DataFrame, words: int) -> DataFrame:
+    """``(rep, size, shared)``: size of each set, and how many of its shingles another set of ``docs`` holds too.
+
+    No two sets have more in common than either shares with all others.  An id with
+    several texts gets its smallest size and its largest share.
+    """
+    schema = arrow_schema("rep bigint, variant bigint, shingle bigint")
+
+    def cut(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), [text or "" for text in batch.column(1).to_pylist()]
+            for start, end in chunks_of(texts, CHUNK):
+                sets = shingle_sets(texts[start:end], words)
+                sizes = [len(found) for found in sets]
+                variant = np.array([found.sum(dtype=np.uint64) for found in sets], np.uint64).view(np.int64)
+                columns = [np.repeat(np.array(ids[start:end]), sizes), np.repeat(variant, sizes)]
+                columns = [pa.array(c) for c in (*columns, np.concatenate(sets).view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    one = ["rep", "variant"]
+    shingles = docs.dropDuplicates().mapInArrow(cut, "rep bigint, variant bigint, shingle bigint")
+    counted = shingles.groupBy("shingle").agg(*[F.min(c).alias(c) for c in one], F.count(F.lit(1)).alias("n"))
+    alone = counted.filter("n = 1").groupBy(*one).agg(F.count(F.lit(1)).alias("alone"))
+    sizes = shingles.groupBy(*one).agg(F.count(F.lit(1)).alias("size")).join(alone, one, "left")
+    return sizes.groupBy("rep").agg(
+        F.min("size").alias("size"), F.max(F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared")
+    )
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``: one row per row of ``docs (doc_id, text)``.
 
@@ -166,9 +208,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         if labels is not None:
             rows = rows.join(labels, "rep", "left")
         rows = rows.withColumn("label", F.col("rep") if labels is None else F.coalesce("label", "rep"))
+        drawn = F.struct(F.xxhash64("rep", "band", F.lit(turn)), "rep", "label")
         heads = (
             rows.groupBy("band")
-            .agg(F.min(F.struct("rep", "label")).alias("head"), F.min("label").alias("low"), F.max("label").alias("high"))
+            .agg(F.min(drawn).alias("head"), F.min("label").alias("low"), F.max("label").alias("high"))
             .filter("low < high")
             .select("band", "head")
         )
@@ -177,15 +220,26 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
             break
         if turn < rounds:
             pairs = held.filter("rep <> head.rep and label <> head.label").select(
-                F.col("head.rep").alias("src"), F.col("rep").alias("dst")
+                F.least("rep", "head.rep").alias("src"), F.greatest("rep", "head.rep").alias("dst")
             )
         else:
-            side = held.join(packs.select("rep", "packed"), "rep").select("band", "rep", "label", "packed")
-            one, other = (side.withColumnsRenamed({c: f"{c}_{s}" for c in ("rep", "label", "packed")}) for s in "ab")
+            rest = held.select("rep").distinct()
+            sizes = shared_sizes(docs.join(rest.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), words)
+            facts = folder.store(packs.select("rep", "packed").join(sizes, "rep"), "rest")
+            # Small rows but many comparisons: as many tasks as the session shuffles to, however few bytes there are.
+            tasks = max(LEAST_TASKS, int(folder.spark.conf.get("spark.sql.shuffle.partitions")))
+            packs_apart = [lane.alias(f"lane{k}") for k, lane in enumerate(lanes_of("packed"))]
+            side = held.join(facts, "rep").select("band", "rep", "label", "size", "shared", *packs_apart)
+            side = side.repartition(tasks, "band")
+            one, other = (side.withColumnsRenamed({c: f"{c}_{s}" for c in side.columns if c != "band"}) for s in "ab")
+            lanes = [[F.col(f"lane{k}_{s}") for k in range(LANES)] for s in "ab"]
+            most = F.least("shared_a", "shared_b")
             pairs = (
                 one.join(other, "band")
                 .filter((F.col("rep_a") < F.col("rep_b")) & (F.col("label_a") != F.col("label_b")))
-                .filter(likely("packed_a", "packed_b", percent))
+                .filter(100 * most >= percent * (F.col("size_a") + F.col("size_b") - most))
+                .filter(likely(*lanes, percent, FIRST_LANES, 2 * ESTIMATE_MARGIN))
+                .filter(likely(*lanes, percent))
                 .select(F.col("rep_a").alias("src"), F.col("rep_b").alias("dst"))
             )
         pairs = pairs.distinct()
@@ -195,7 +249,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         pairs = (
             pairs.join(sides.withColumnsRenamed({"rep": "dst", "packed": "dst_packed"}), "dst")
             .join(sides.withColumnsRenamed({"rep": "src", "packed": "src_packed"}), "src")
-            .filter(likely("src_packed", "dst_packed", percent))
+            .filter(likely(lanes_of("src_packed"), lanes_of("dst_packed"), percent))
             .select("src", "dst")
         )
         pairs = folder.store(pairs, f"pairs-{turn}")
