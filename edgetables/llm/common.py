@@ -65,6 +65,16 @@ def batch_of(rows: list[tuple], schema):
     return pa.RecordBatch.from_arrays([pa.array(c, field.type) for c, field in zip(columns, schema)], schema=schema)
 
 
+SLICE_ROWS = 1000
+
+
+def slices(batches):
+    """Arrow batches in pieces of at most ``SLICE_ROWS`` rows, so that results leave a task early."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(start, SLICE_ROWS)
+
+
 def chunks_of(texts: list[str], most: int = CHUNK_CHARS):
     """Slices ``(start, end)`` of a list, each of about ``most`` characters; one long text makes one slice."""
     start, size = 0, 0

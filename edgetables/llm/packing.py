@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from edgetables.llm.common import Folder, arrow_schema, batch_of
+from edgetables.llm.common import Folder, arrow_schema, batch_of, slices
 from edgetables.llm.tokens import encoder
 
 WINDOW = 2048
@@ -36,7 +36,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, white_matters: bool) -
 
         part, start = TaskContext.get().partitionId(), 0
         words, end = encoder(tokenizer, white_matters), np.uint32(end_id).tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             texts = [text or "" for text in batch.column(1).to_pylist()]
             ids = [got + end for got in words.encode(texts)]
             sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4

@@ -23,13 +23,13 @@ from itertools import chain
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from edgetables.llm.common import chunks_of
+from edgetables.llm.common import chunks_of, slices
 
 MARKER = "▁"
 UNKNOWN_PENALTY = 10.0  # below the smallest score, for each character written as bytes
 REMEMBERED = 200_000
 CHUNK = 1_000_000
-TOGETHER = 16_384  # words that pass the trie at once
+TOGETHER = 8_192  # words that pass the trie at once
 LONG_WORD = 64  # bytes; longer words are segmented alone and not remembered
 UNITS = re.compile(" *[^ ]+| +").findall
 
@@ -265,7 +265,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         import pyarrow as pa
 
         own = _segmenter(path, shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             ids = own.encode([text or "" for text in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
@@ -282,7 +282,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         import pyarrow as pa
 
         own = Segmenter(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(1).to_pylist()
             texts = [own.decode(np.frombuffer(some, "<u4")) if some else "" for some in ids]
             columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string())]
