@@ -23,7 +23,7 @@ import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from edgetables.llm.common import Folder, write_file
+from edgetables.llm.common import Folder, slices, write_file
 from edgetables.llm.tokens import encoder
 
 END_ID = 0
@@ -116,7 +116,7 @@ def write_token_files(
             names = ["part", "block", "before", "doc_ids", "sizes", "ids"]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-        for batch in batches:
+        for batch in slices(batches):
             texts = [text or "" for text in batch.column(1).to_pylist()]
             for doc, ids in zip(batch.column(0).to_pylist(), words.encode(texts)):
                 docs_held.append(doc)

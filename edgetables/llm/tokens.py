@@ -18,10 +18,10 @@ from edgetables.llm.common import chunks_of
 WHITE = (
     "\t-\r \u0085   -     　"
 )
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 LONG_WORD = 64
-#: A word of Latin letters that normalising leaves alone or lower-cases letter by letter, and at most one mark.
-SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]{1,64})([.,]?)").fullmatch
+#: A word of Latin letters that normalising leaves alone or lower-cases letter by letter, and ASCII marks after it.
+SIMPLE = re.compile("(\n?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]{1,64})([!-&(-/:-@[-`{-~]*)").fullmatch
 
 
 def _byte_names() -> list[str]:
@@ -67,9 +67,8 @@ class WordEncoder:
         self.known: dict[str, bytes] = {}  # of a word with the blank, if any, that it follows
         self.exact: dict[str, bytes] = {}  # of a piece as it stands
         self.stems: dict[str, bytes] = {}
-        self.marks = {
-            mark: array("I", self.library.encode(mark, add_special_tokens=False).ids).tobytes() for mark in ("", ".", ",")
-        }
+        self.bare: dict[str, bytes] = {}  # stems after a line feed, which is a token of its own
+        self.marks: dict[str, bytes] = {"": b""}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -86,15 +85,15 @@ class WordEncoder:
                 else:
                     plain.append(text.split())
                     pieces.append([])
-            blank = " " if self.white_matters else ""
-            for known, split, before in ((self.known, plain, blank), (self.exact, pieces, "")):
-                self._learn(known, set(chain.from_iterable(split)), before)
+            words_used, pieces_used = set(chain.from_iterable(plain)), set(chain.from_iterable(pieces))
+            self._learn(self.known, words_used, " " if self.white_matters else "")
+            self._learn(self.exact, pieces_used, "")
             out += [
                 b"".join(map(self.exact.__getitem__, some)) + b"".join(map(self.known.__getitem__, words))
                 for some, words in zip(pieces, plain)
             ]
-            for known, split in ((self.known, plain), (self.exact, pieces)):
-                for word in {word for words in split for word in words if len(word) > LONG_WORD}:
+            for known, used in ((self.known, words_used), (self.exact, pieces_used)):
+                for word in [word for word in used if len(word) > LONG_WORD]:
                     del known[word]
         return out
 
@@ -103,14 +102,16 @@ class WordEncoder:
             known.clear()
         new = used - known.keys()
         if known is self.known:
-            if len(self.stems) + len(new) > REMEMBERED:
-                self.stems.clear()
+            for some in (self.stems, self.bare, self.marks):
+                if len(some) > REMEMBERED:
+                    some.clear()
             for word in new:
                 if match := SIMPLE(word):
-                    stem, mark = match.groups()
-                    if (ids := self.stems.get(stem)) is None:
-                        ids = self.stems[stem] = self._word(stem)
-                    known[word] = ids + self.marks[mark]
+                    feed, stem, mark = match.groups()
+                    stems = self.bare if feed else self.stems
+                    if (ids := stems.get(stem)) is None:
+                        ids = stems[stem] = self._word(stem, before and not feed)
+                    known[word] = self._mark(feed) + ids + self._mark(mark)
             new = new - known.keys()
         words = list(new)
         asked = [word if word[0] == "\n" else before + word for word in words] if before else words
@@ -119,7 +120,14 @@ class WordEncoder:
             for word, one in zip(words[i : i + 4096], found):
                 known[word] = array("I", one.ids).tobytes()
 
-    def _word(self, stem: str) -> bytes:
+    def _mark(self, mark: str) -> bytes:
+        if (ids := self.marks.get(mark)) is None:
+            ids = array("I", self.library.encode(mark, add_special_tokens=False).ids).tobytes() if mark else b""
+            self.marks[mark] = ids
+        return ids
+
+    def _word(self, stem: str, after_blank: bool) -> bytes:
         """Ids of a word of Latin letters, which is one pre-token: the merges alone, without the steps before them."""
-        plain = "".join(map(BYTE_NAMES.__getitem__, (" " + stem if self.white_matters else stem.lower()).encode()))
+        text = (" " + stem if after_blank else stem) if self.white_matters else stem.lower()
+        plain = "".join(map(BYTE_NAMES.__getitem__, text.encode()))
         return array("I", [token.id for token in self.library.model.tokenize(plain)]).tobytes()
