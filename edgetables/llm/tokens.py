@@ -18,7 +18,7 @@ from edgetables.llm.common import chunks_of
 WHITE = (
     "\t-\r \u0085   -     　"
 )
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 LONG_WORD = 64
 #: A word of Latin letters that normalising leaves alone or lower-cases letter by letter, and ASCII marks after it.
 SIMPLE = re.compile("(\n?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]{1,64})([!-&(-/:-@[-`{-~]*)").fullmatch
