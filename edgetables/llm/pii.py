@@ -29,8 +29,18 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A run of letters, digits and marks that holds a digit.
-CANDIDATE = r"(?<![A-Za-z0-9@._+#/-])[A-Za-z@._+#/-]*+[0-9][A-Za-z0-9@._+#/-]*+"
+#: Stands for every character of a span while candidates are sought; for private use, so no text needs it.
+TAKEN = "\ue000"
+_JOINED = r"[._#+/@-]*+[\p{L}\p{N}@\x{E000}]"  # the token goes on
+#: Shapes wider than the patterns, tried in this order: a word at a word; digits with blanks, brackets, dots and
+#: dashes between them; a run of letters, digits and marks that holds a digit.
+CANDIDATE = (
+    r"(?<![\p{L}\p{N}._%+#/@\x{E000}-])(?:"
+    r"[\p{L}\p{N}._%+-]++@[\p{L}\p{N}.-]*[\p{L}\p{N}](?![\p{L}\p{N}@\x{E000}])|"
+    r"(?:\+?\x20?\((?=[\x20+0-9]++\)[\x20\xA0./-]*+[0-9])\x20?\+?|\+\x20?)?"
+    r"[0-9]++(?:[\x20\xA0()./\x{2010}-\x{2015}-]++[0-9]++(?![._#+/@-]*+[\p{L}@\x{E000}]))*+(?!" + _JOINED + r")|"
+    r"[\p{L}@._+#/-]*+[0-9](?:[._#+/@-]*+[\p{L}\p{N}])*+(?![@._+#/-]*+\x{E000}))"
+)
 LEAST_CANDIDATE = 6
 CONTEXT_CHARS = 60
 LEFT_WORDS = r"(\S+\s+)?\S*\s*$"  # the last two words before, with what touches the string
@@ -69,18 +79,24 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def matches(text: Column, pattern: str, kind: int) -> Column:
-    """All matches in order: ``start, kind, end, before, value``, with the words before them."""
+def matches(text: Column, pattern: str, kind: int, shown: Column | None = None) -> Column:
+    """All matches in order: ``start, kind, end, before, value``, with the words before them.
+
+    The words are those of ``shown``, which is as long as ``text``, and by default ``text`` itself.
+    """
+    shown = text if shown is None else shown
     between = F.zip_with(
         F.split(text, pattern, -1),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda gap, value: F.struct(F.length(gap).alias("gap"), F.right(gap, F.lit(CONTEXT_CHARS)).alias("before"), value.alias("value")),
+        lambda gap, value: F.struct(F.length(gap).alias("gap"), value.alias("value")),
     )
 
     def place(so_far, one):
         start = so_far["at"] + one["gap"]
         end = start + F.length(one["value"])
-        before = F.trim(F.regexp_replace(F.lower(F.regexp_extract(one["before"], LEFT_WORDS, 0)), r"\s+", " "))
+        least = F.greatest(start - CONTEXT_CHARS, F.lit(0))
+        left = shown.substr((least + 1).cast("int"), (start - least).cast("int"))
+        before = F.trim(F.regexp_replace(F.lower(F.regexp_extract(left, LEFT_WORDS, 0)), r"\s+", " "))
         found = F.struct(
             start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), before.alias("before"), one["value"].alias("value")
         )
@@ -110,14 +126,29 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*found))
 
 
-def candidates(text: Column, spans: Column) -> Column:
-    """Identifier-shaped strings that touch no span."""
-    found = F.when(text.rlike("[0-9]"), matches(text, CANDIDATE, -1)).otherwise(F.array().cast(FOUND))
-    return F.filter(
-        found,
-        lambda one: (F.length(one["value"]) >= LEAST_CANDIDATE)
-        & ~F.exists(spans, lambda span: (span["start"] < one["end"]) & (one["start"] < span["end"])),
-    )
+def masked(text: Column, spans: Column) -> Column:
+    """``text`` with every character of a span replaced by ``TAKEN``."""
+    nothing = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
+
+    def cut(so_far, span):
+        start = F.greatest(so_far["at"], span["start"])
+        gap = text.substr((so_far["at"] + 1).cast("int"), (start - so_far["at"]).cast("int"))
+        taken = F.repeat(F.lit(TAKEN), F.greatest(span["end"] - start, F.lit(0)).cast("int"))
+        return F.struct(
+            F.greatest(so_far["at"], span["end"]).alias("at"), F.concat(so_far["parts"], F.array(gap, taken)).alias("parts")
+        )
+
+    def end(held):
+        rest = text.substr((held["at"] + 1).cast("int"), F.length(text))
+        return F.array_join(F.concat(held["parts"], F.array(rest)), "")
+
+    return F.when(F.size(spans) > 0, F.aggregate(spans, nothing, cut, end)).otherwise(text)
+
+
+def candidates(text: Column, left: Column) -> Column:
+    """Identifier-shaped strings of ``left``, the ``text`` without its spans."""
+    found = F.when(left.rlike("[0-9@]"), matches(left, CANDIDATE, -1, text)).otherwise(F.array().cast(FOUND))
+    return F.filter(found, lambda one: (F.length(one["value"]) >= LEAST_CANDIDATE) | F.contains(one["value"], F.lit("@")))
 
 
 def trusted_patterns(strings: DataFrame, folder: Folder) -> DataFrame:
@@ -128,7 +159,7 @@ def trusted_patterns(strings: DataFrame, folder: Folder) -> DataFrame:
     """
     shares = [f"share_{k}" for k in range(len(KINDS))]
     met = (
-        strings.filter(F.col("before").rlike("[a-z].*[a-z]"))
+        strings.filter(F.col("before").rlike(r"(?s)\p{L}.*\p{L}"))
         .groupBy("before", F.xxhash64("value").alias("instance"))
         .agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("kind"))
     )
@@ -175,7 +206,8 @@ def find(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = docs.select(*others, F.monotonically_increasing_id().alias("_row"), text.alias("_text"))
     found = found.withColumn("_base", base_spans(F.col("_text")))
-    found = found.withColumn("_open", candidates(F.col("_text"), F.col("_base"))).drop("_text")
+    found = found.withColumn("_left", masked(F.col("_text"), F.col("_base")))
+    found = found.withColumn("_open", candidates(F.col("_text"), F.col("_left"))).drop("_text", "_left")
     found = folder.store(found, "found")
     strings = found.select(F.explode(F.concat("_base", "_open")).alias("one")).select("one.before", "one.value", "one.kind")
     trusted = trusted_patterns(strings, folder)

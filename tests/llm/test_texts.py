@@ -68,6 +68,22 @@ def test_context_finds_unseen_identifiers_and_leaves_others(spark):
     assert redacted[31] == texts[31]
 
 
+def test_candidates_have_the_shapes_of_the_kinds(spark):
+    unseen = [
+        ("call me at ", "(487) 555-7209"), ("call me at ", "0171 555 7209"), ("write me to ", "jane.doe@localhost"),
+        ("10.0.0.1 and 42 call me at ", "0171/555 7209"), ("позвоните на номер ", "0171 555 7209"),
+        ("call me at ", "0171-555-7209x"),
+    ]
+    texts = [before + value + "." for before, value in unseen]
+    texts += [f"call me at +1 ({n}) 555-{1000 + n} soon" for n in range(200, 240)]
+    texts += [f"write me to a{n}@b.co soon" for n in range(20)] + [f"позвоните на номер +49 30 555{1000 + n}" for n in range(20)]
+    frame = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], SCHEMA)
+    rows = {r["doc_id"]: r["names"].split(",") for r in pii.find(frame).withColumn("names", pii.span_names("spans")).collect()}
+    for k, (before, value) in enumerate(unseen):
+        kind = "email" if "@" in value else "phone"
+        assert rows[k][-1] == f"{kind}_context:{len(before)}:{len(before) + len(value)}"
+
+
 def pii_names(text):
     return ",".join(f"{pii.KINDS[kind]}:{start}:{end}" for start, kind, end in base_spans(text))
 
