@@ -4,8 +4,9 @@ Four patterns give the seeds.  What stands before a seed becomes a lexical
 pattern, and identifier-shaped strings that no fixed pattern claims become
 candidates.  Patterns and instances form a bipartite graph with the numbers of
 meetings as weights: a pattern is as trustworthy as the instances it meets, an
-instance as the patterns it is met with, seeds staying certain.  After a few
-rounds the strings behind trustworthy patterns join the seeds.
+instance as the patterns it is met with less a small escape, seeds staying
+certain.  Strings met mostly behind trusted patterns join the seeds.  Rounds go on
+until no score moves any more, so the fixed point decides, not their number.
 
 Everything is built-in functions.  A regular expression yields its matches and,
 by splitting, the text between them; adding up lengths gives the positions in
@@ -45,7 +46,8 @@ LEAST_CANDIDATE = 6
 CONTEXT_CHARS = 60
 LEFT_WORDS = r"(\S+\s+)?\S*\s*$"  # the last two words before, with what touches the string
 
-ROUNDS = 3
+ESCAPE = 0.05  # lost of a trust that goes over to an instance and back; what keeps a few chance seeds from spreading
+MOVED = 0.001  # a score that moves less has come to rest
 LEAST_SUPPORT = 3  # different trusted instances behind a pattern
 TRUST = 0.9
 FOUND = "array<struct<start:bigint,kind:int,end:bigint,before:string,value:string>>"
@@ -157,37 +159,55 @@ def trusted_patterns(strings: DataFrame, folder: Folder) -> DataFrame:
     ``strings (before, value, kind)`` are all seeds and candidates, a negative
     kind marking candidates.
     """
-    shares = [f"share_{k}" for k in range(len(KINDS))]
+    kinds = range(len(KINDS))
     met = (
         strings.filter(F.col("before").rlike(r"(?s)\p{L}.*\p{L}"))
         .groupBy("before", F.xxhash64("value").alias("instance"))
         .agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("kind"))
     )
     met = folder.store(met, "met")
-    scored = met.select("*", *[(F.col("kind") == k).cast("double").alias(c) for k, c in enumerate(shares)])
-    for turn in range(ROUNDS):
-        trusted = F.greatest(*shares) >= 0.5
-        patterns = scored.groupBy("before").agg(
-            *[(F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(c) for c in shares],
-            F.count_if(trusted).alias("support"),
-            F.count_if(F.col("kind") < 0).alias("open"),
-        )
-        patterns = folder.store(patterns.filter(F.col("support") >= LEAST_SUPPORT), f"patterns-{turn}")
-        if turn == ROUNDS - 1:
+    # A string is of one kind wherever it stands, a seed if it is one anywhere.
+    totals = met.groupBy("instance").agg(F.sum("n").alias("total"), F.max("kind").alias("kind"))
+    scores, sums = [f"score_{k}" for k in kinds], [f"sum_{k}" for k in kinds]
+    nothing = [F.lit(0.0).alias(c) for c in (*scores, *sums)]
+    met = folder.store(met.drop("kind").join(totals, "instance").select("before", "instance", "n", "total", "kind", *nothing), "met-0")
+    open_, turn = F.col("kind") < 0, 0
+    while True:
+        # score = (trusted + from other patterns + score * what comes back to it from open instances) / n, solved for score
+        back = F.when(open_, F.col("n") * F.col("n") / F.col("total") / (1 + ESCAPE)).otherwise(0.0)
+        parts = [F.sum("n").alias("n"), F.sum(back).alias("back")]
+        for k in kinds:
+            elsewhere = F.col(sums[k]) - F.col("n") * F.col(scores[k])
+            others = elsewhere / F.col("total") / (1 + ESCAPE)
+            supports = (2 * F.col(sums[k]) >= F.col("total")) | ((elsewhere > 0) & (2 * elsewhere >= F.col("total") - F.col("n")))
+            parts += [
+                F.sum(F.col("n") * F.when(open_, others).otherwise((F.col("kind") == k).cast("double"))).alias(f"given_{k}"),
+                F.count_if((F.col("kind") == k) | (open_ & supports)).alias(f"support_{k}"),
+                F.max(scores[k]).alias(f"old_{k}"),
+            ]
+        now = [
+            F.when(F.col(f"support_{k}") >= LEAST_SUPPORT, F.col(f"given_{k}") / (F.col("n") - F.col("back"))).otherwise(0.0)
+            for k in kinds
+        ]
+        patterns = met.groupBy("before").agg(*parts).select("before", *[f"old_{k}" for k in kinds], *[c.alias(s) for c, s in zip(now, scores)])
+        patterns = folder.store(patterns.filter(F.greatest(*scores) > 0), f"patterns-{turn}")
+        if patterns.filter(F.greatest(*[F.abs(F.col(s) - F.col(f"old_{k}")) for k, s in enumerate(scores)]) > MOVED).isEmpty():
             break
-        instances = (
-            met.filter("kind < 0")
-            .join(patterns.select("before", *shares), "before", "left")
-            .groupBy("instance")
-            .agg(*[(F.sum(F.col("n") * F.coalesce(c, F.lit(0.0))) / F.sum("n")).alias(c) for c in shares])
-        )
-        seeds = [F.when(F.col("kind") >= 0, F.col("kind") == k).cast("double") for k in range(len(KINDS))]
-        scored = met.join(instances, "instance", "left").select(
-            *met.columns, *[F.coalesce(seed, F.col(c), F.lit(0.0)).alias(c) for seed, c in zip(seeds, shares)]
-        )
-    best = F.greatest(*shares)
-    kind = F.coalesce(*[F.when(F.col(c) == best, F.lit(k)) for k, c in enumerate(shares)])
-    return patterns.filter((best >= TRUST) & (F.col("open") > 0)).select("before", kind.alias("kind"))
+        scored = met.drop(*scores, *sums).join(patterns.select("before", *scores), "before", "left").fillna(0.0, scores)
+        weight = [F.sum(F.col("n") * F.col(s)).alias(c) for s, c in zip(scores, sums)]
+        sure = [F.sum(F.when(F.col(s) >= TRUST, F.col("n")).otherwise(0)).alias(f"sure_{k}") for k, s in enumerate(scores)]
+        instances = scored.filter(open_).groupBy("instance").agg(*weight, *sure).filter(F.greatest(*sums) > 0)
+        scored = scored.join(instances, "instance", "left").fillna(0.0, sums)
+        most = F.greatest(*[f"sure_{k}" for k in kinds])
+        joins = F.coalesce(*[F.when(F.col(f"sure_{k}") == most, F.lit(k)) for k in kinds])
+        kind = F.when(open_ & (most > 0) & (2 * most >= F.col("total")), joins).otherwise(F.col("kind"))
+        turn += 1
+        met = folder.store(scored.select("before", "instance", "n", "total", kind.alias("kind"), *scores, *sums), f"met-{turn}")
+        folder.drop(f"met-{turn - 1}")
+        folder.drop(f"patterns-{turn - 1}")
+    best = F.greatest(*scores)
+    kind = F.coalesce(*[F.when(F.col(c) == best, F.lit(k)) for k, c in enumerate(scores)])
+    return patterns.filter(best >= TRUST).select("before", kind.alias("kind"))
 
 
 def find(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -84,6 +84,28 @@ def test_candidates_have_the_shapes_of_the_kinds(spark):
         assert rows[k][-1] == f"{kind}_context:{len(before)}:{len(before) + len(value)}"
 
 
+def test_contexts_are_found_until_no_more_cross_the_threshold(spark):
+    def phones(first, n):
+        return [f"0049-30-{first + k}" for k in range(n)]
+
+    words = ["call me at", "reach us under", "our new line", "dial please quickly", "night desk number"]
+    texts = [f"ring us at +4940{1000000 + k}" for k in range(100)] + [f"ring us at {p}" for p in phones(7000000, 100)]
+    texts += [f"{words[0]} +4930{1000000 + k}" for k in range(200)] + [f"{words[0]} {p}" for p in phones(1000000, 80)]
+    # Each context shares instances with the one before only; those of the last are four hops from the seeds.
+    for step in range(1, len(words)):
+        shared = phones(1000000 * step, 160 >> step)
+        texts += [f"{words[step]} {p}" for p in shared + phones(1000000 * (step + 1), 80 >> step)]
+    last = f"{words[-1]} 0049-30-{1000000 * len(words)}"
+    # One card number in ten among others passes by chance.
+    orders = [f"order number {10**15 + k * 10**5 + 7}" for k in range(200)]
+    assert 3 <= sum(passes_luhn(t.split()[-1]) for t in orders) < 40
+    frame = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts + orders)], SCHEMA)
+    rows = {r["text"]: r["names"] for r in pii.find(frame).withColumn("names", pii.span_names("spans")).collect()}
+    assert [t for t in texts if not rows[t].startswith("phone")] == []
+    assert rows[last] == f"phone_context:{len(words[-1]) + 1}:{len(last)}"
+    assert all(rows[t] == pii_names(t) for t in orders)
+
+
 def pii_names(text):
     return ",".join(f"{pii.KINDS[kind]}:{start}:{end}" for start, kind, end in base_spans(text))
 
