@@ -29,6 +29,8 @@ FRAME_WORDS = frozenset(
 )
 #: Elements, and words of id, class and role, that name an article.
 ARTICLE = frozenset({"article", "main"})
+#: Elements whose start tag closes an open paragraph.
+ENDS_P = BLOCK - {"br", "legend", "optgroup", "option", "title"}
 #: Elements that a start tag of the same kind closes.
 CLOSES_ITSELF = frozenset({"p", "li", "dt", "dd", "tr", "td", "th", "option"})
 
@@ -36,7 +38,6 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>?|[^<]+|<", re.S
 )
 ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-WORD = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 
 #: Elements that a document's head may hold.
@@ -45,30 +46,57 @@ HEAD = frozenset("base link meta noscript script style template title".split())
 OPEN, FRAMED, INSIDE = 0, 1, 2  # what is known of a block: nothing, around an article, in an article
 
 
-def frame_words(attributes: str, inside: bool = False) -> bool:
-    """Whether class, id, role or a hiding attribute tell that this is not the article.
-
-    ``inside`` an article a header is its own heading.
-    """
+def hidden(attributes: str) -> bool:
+    """Whether an attribute hides the element."""
     for name, *values in ATTRIBUTE.findall(attributes):
         name = name.lower()
         if name == "hidden" or (name == "aria-hidden" and "true" in values):
             return True
-        if name in ("class", "id", "role"):
-            found = FRAME_WORDS.intersection(WORD.findall(html.unescape("".join(values)).lower()))
-            if found and not (inside and found == {"header"}):
-                return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", "".join(values), re.I):
             return True
     return False
 
 
+def frame_words(attributes: str, inside: bool = False) -> bool:
+    """Whether a class, the id, the role or a hiding attribute tell that this is not the article.
+
+    Names count whole: ``has-sidebar`` is no ``sidebar``.  ``inside`` an article a
+    header is its own heading.
+    """
+    for name, *values in ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id", "role"):
+            found = FRAME_WORDS.intersection(html.unescape("".join(values)).lower().split())
+            if found and not (inside and found == {"header"}):
+                return True
+    return hidden(attributes)
+
+
 def blocks(page: str) -> list[tuple[str, int, int]]:
     """``(text, what is known of it, segment)`` of every non-empty block in page order.
 
     A segment is a stretch of the page without the start or end of an element that
-    frames or holds an article, or carries a class or an id.
+    frames or holds an article, or carries a class or an id.  Where no article
+    stands outside the frames, the outermost frames that hold one are wrappers and
+    frame nothing; where nothing at all stands outside them, forms are.
+    """
+    wrappers: set[int] = set()
+    while True:
+        out, around, forms = _blocks(page, wrappers)
+        states = {state for _, state, _ in out}
+        more = set() if INSIDE in states else around or (set() if OPEN in states else forms)
+        if not more:
+            return out
+        wrappers |= more
+
+
+def _blocks(page: str, wrappers: set[int]) -> tuple[list[tuple[str, int, int]], set[int], set[int]]:
+    """The blocks, and where the outermost frames start that hold an article, and those that are forms.
+
+    Elements that start at ``wrappers`` frame nothing.
     """
+    frames: list[tuple[int, int, bool]] = []  # depth and start of the outermost frame around, whether it may be a wrapper
+    around: set[int] = set()
+    forms: set[int] = set()
     out: list[tuple[str, int, int]] = []
     parts: list[str] = []
     stack: list[tuple[str, int, bool]] = []  # element, state inside it, whether it bounds a segment
@@ -82,7 +110,7 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
 
     while at < len(page):
         token = TOKEN.match(page, at)
-        at = token.end()
+        start, at = at, token.end()
         tag = token[2]
         if tag is None:
             if token[0][0] != "<" or token[0] == "<":
@@ -103,6 +131,15 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
             continue
         if tag in BLOCK:
             close()
+        if tag in ENDS_P:
+            place = len(stack) - 1
+            while place >= 0 and stack[place][0] not in BLOCK and stack[place][0] != "button":
+                place -= 1
+            if place >= 0 and stack[place][0] == "p":
+                if any(bounds for _, _, bounds in stack[place:]):
+                    segment += 1
+                del stack[place:]
+                state = stack[-1][1] if stack else OPEN
         if tag in EMPTY:
             continue
         if tag in VERBATIM:
@@ -119,7 +156,7 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
         if tag in RAW:
             inner = -1
         elif state >= 0 and state != FRAMED:
-            if tag in ("html", "body"):
+            if tag in ("html", "body") or start in wrappers:
                 pass
             elif tag in ARTICLE and not (attributes and frame_words(attributes)):
                 inner = INSIDE
@@ -129,6 +166,14 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
                 inner = FRAMED
             elif attributes and re.search(r"""\brole\s*=\s*["']?main\b""", attributes, re.I):
                 inner = INSIDE
+        while frames and frames[-1][0] >= len(stack):
+            frames.pop()
+        if state == OPEN and inner == FRAMED:
+            frames.append((len(stack), start, not (attributes and hidden(attributes))))
+            if tag == "form" and frames[-1][2]:
+                forms.add(start)
+        elif state == FRAMED and frames and frames[-1][2] and tag in ARTICLE and not (attributes and frame_words(attributes)):
+            around.add(frames[-1][1])
         bounds = inner != state or tag in FRAME or tag in ARTICLE or ("class" in attributes or "id" in attributes)
         if bounds:
             close()
@@ -136,4 +181,4 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
         stack.append((tag, inner, bounds))
         state = inner
     close()
-    return out
+    return out, around, forms

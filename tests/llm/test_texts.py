@@ -259,6 +259,21 @@ def test_tags_decide_what_they_can():
     assert [text for text, state, _ in markup.blocks(PAGE) if state == markup.OPEN] == []
 
 
+def test_frames_do_not_swallow_articles():
+    def kept(page):
+        return [text for text, state, _ in markup.blocks(page) if state != markup.FRAMED]
+
+    article, aside = "<article><p>One</p><form>mail</form></article>", "<aside><article>Teaser</article></aside>"
+    assert kept(f"<form id=f><nav>Menu</nav>{article}{aside}</form>") == ["One"]
+    assert kept(f"<div class='layout-with-sidebar'>{article}</div>") == ["One"]
+    assert kept(f"<div class='menu'><div class='search'>{article}</div></div>") == ["One"]
+    assert kept(f"<p class='ad'>Buy<div>{article}</div><p class=ad><b>Buy<div>Two</div>") == ["One", "Two"]
+    assert kept("<form><nav>Menu</nav><div>One</div></form>") == ["One"]
+    assert kept(f"{article}{aside}<div class='notice'>No</div>") == ["One"]
+    assert kept(f"<div style='display:none'>{article}</div><div>Two</div>") == ["Two"]
+    assert kept("<nav>Menu</nav><div class=ad>Buy</div>") == []
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "a<b>c", "<!-- x", "<script>x", "</p></div>", "<a href='x>y", "&#xD800;&#0;", "<p>" * 3000])
 def test_broken_pages_do_not_fail(page):
     assert all(text == " ".join(text.split()) and text for text, _, _ in markup.blocks(page))
