@@ -4,8 +4,9 @@ What stands in an ``article`` is kept whole, however often it occurs elsewhere;
 what stands in a menu, a footer, a form and the like goes.  The text of which the
 tags say nothing is decided by a suffix array over the token streams of each
 host: stretches of at least ``LEAST_TOKENS`` tokens that occur on two pages or
-more are boilerplate, a block covered by them is removed, and runs that occur on
-one page alone stay.  Menus and footers are part of the array too, as their texts
+more are boilerplate and go, token by token, and runs that occur on one page alone
+stay, also inside a block.  Pages that are near copies of each other count as one
+page.  Menus and footers are part of the array too, as their texts
 turn up without their tags on other pages.
 
 The array is built in parts.  Every suffix of a stream goes, under the host and
@@ -26,9 +27,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from edgetables.llm.common import Folder, arrow_schema, batch_of
 from edgetables.llm.markup import FRAMED, INSIDE, OPEN, blocks
+from edgetables.llm.minhash import near_duplicates
 
 LEAST_TOKENS = 6
-COVERED = 0.5  # share of a block's tokens in repeated stretches that makes it boilerplate
+COVERED = 0.5  # share of a block's tokens in repeated stretches above which `covered` marks it; removes nothing
 PARSED = (
     "row bigint, page_id bigint, url string, host string, texts array<string>, stream_of array<int>, "
     "place_of array<int>, streams array<string>, open_streams array<int>"
@@ -91,7 +93,7 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
 
 
 def repeated_blocks(streams: DataFrame, least: int = LEAST_TOKENS, covered: float = COVERED) -> DataFrame:
-    """``(host, stream, covered)`` from ``streams (host, stream, page)``: for each block of a stream, whether it repeats.
+    """``(host, stream, covered, kept)`` from ``streams (host, stream, page)``: for each block of a stream, whether most of it repeats, and the runs that do not.
 
     ``page`` tells different pages apart; pages with one content should share it.
     Streams without a repeated stretch give no row.  A stream shorter than
@@ -114,7 +116,8 @@ def repeated_blocks(streams: DataFrame, least: int = LEAST_TOKENS, covered: floa
         .groupBy("host", "stream")
         .agg(F.collect_list("at").alias("starts"))
     )
-    schema = arrow_schema("host string, stream string, covered array<boolean>")
+    columns = "host string, stream string, covered array<boolean>, kept array<string>"
+    schema = arrow_schema(columns)
 
     def cover(batches: Iterator) -> Iterator:
         import numpy as np
@@ -128,27 +131,49 @@ def repeated_blocks(streams: DataFrame, least: int = LEAST_TOKENS, covered: floa
                 np.add.at(steps, np.array(at) + least, -1)
                 inside = np.r_[0, np.cumsum(np.cumsum(steps)[: ends[-1]] > 0)]
                 begins = np.r_[0, ends[:-1]]
-                rows.append((host, stream, (inside[ends] - inside[begins] >= covered * (ends - begins)).tolist()))
+                mostly = (inside[ends] - inside[begins] >= covered * (ends - begins)).tolist()
+                lone = (np.diff(inside) == 0).tolist()
+                words = [block.split(" ") for block in stream.split("\n")]
+                kept = [" ".join(w for w, alone in zip(some, lone[a:]) if alone) for some, a in zip(words, begins.tolist())]
+                rows.append((host, stream, mostly, kept))
             yield batch_of(rows, schema)
 
-    return starts.mapInArrow(cover, "host string, stream string, covered array<boolean>")
+    return starts.mapInArrow(cover, columns)
 
 
-def main_text(pages: DataFrame, least: int = LEAST_TOKENS, covered: float = COVERED) -> DataFrame:
+def near_copies(parsed: DataFrame, folder: Folder) -> DataFrame:
+    """``(row, copy_of)`` of the pages with undecided blocks that are near copies of a page on their host."""
+    # Words carry their host, so pages of different hosts share none.
+    words = F.split(F.array_join("texts", " "), r"\s+")
+    own = F.array_join(F.transform(words, lambda w: F.concat(F.hex(F.xxhash64("host")), F.lit(":"), w)), " ")
+    undecided = parsed.filter((F.size("open_streams") > 0) & (F.size("texts") > 0)).select(F.col("row").alias("doc_id"), own.alias("text"))
+    undecided = folder.store(undecided, "undecided")
+    if undecided.isEmpty():
+        return undecided.select(F.col("doc_id").alias("row"), F.col("doc_id").alias("copy_of"))
+    found = near_duplicates(undecided, words=4)
+    return folder.store(found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("copy_of")), "copies")
+
+
+
+
+def main_text(pages: DataFrame, least: int = LEAST_TOKENS) -> DataFrame:
     """``(page_id, url, text)``: one row per row of ``pages (page_id, url, html)``.
 
     White space inside a block becomes one space, blocks are joined by one space,
     character references are decoded.  A null or empty html, or a page without
     text, gives an empty text.  Rows that repeat, and null ids, are rows of their
-    own; pages with the same blocks count as one page when repeats are sought, so
-    copies do not erase each other.  A page of which everything would go as
+    own; pages with the same blocks, and near copies (0.8 of their shingles of four
+    words) on one host, count as one page when repeats are sought, so copies do not
+    erase each other.  A page of which everything would go as
     repeated keeps it.  Pages without a host share the empty one.  An empty table
     gives no rows.  Further columns are not looked at.
     """
     folder = Folder(pages.sparkSession)
     parsed = folder.store(parsed_pages(pages), "parsed")
-    streams = parsed.select("host", F.explode("streams").alias("stream"), F.xxhash64("texts", "streams").alias("page"))
-    flags = folder.store(repeated_blocks(streams, least, covered), "flags")
+    copies = near_copies(parsed, folder)
+    page = F.coalesce(F.xxhash64("copy_of"), F.xxhash64("texts", "streams")).alias("page")
+    streams = parsed.join(copies, "row", "left").select("host", F.explode("streams").alias("stream"), page)
+    flags = folder.store(repeated_blocks(streams, least), "flags")
     open_ = (
         parsed.filter(F.size("open_streams") > 0)
         .select("row", "host", F.explode("open_streams").alias("number"), "streams")
@@ -157,14 +182,14 @@ def main_text(pages: DataFrame, least: int = LEAST_TOKENS, covered: float = COVE
     decided = (
         open_.join(flags, ["host", "stream"])
         .groupBy("row")
-        .agg(F.map_from_entries(F.collect_list(F.struct("number", "covered"))).alias("covered"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("number", "kept"))).alias("runs"))
     )
     numbers = F.sequence(F.lit(0), F.size("texts") - 1)
-    gone = lambda i: F.coalesce(
-        F.get(F.try_element_at("covered", F.get("stream_of", i)), F.get("place_of", i)), F.lit(False)
+    left = lambda i: F.coalesce(
+        F.get(F.try_element_at("runs", F.get("stream_of", i)), F.get("place_of", i)), F.get("texts", i)
     )
-    unique = F.transform(F.filter(numbers, lambda i: ~gone(i)), lambda i: F.get("texts", i))
-    kept = F.when(F.col("covered").isNull() | (F.size("texts") == 0) | (F.size(unique) == 0), F.col("texts")).otherwise(unique)
+    unique = F.filter(F.transform(numbers, left), lambda text: text != "")
+    kept = F.when(F.col("runs").isNull() | (F.size("texts") == 0) | (F.size(unique) == 0), F.col("texts")).otherwise(unique)
     undecided = F.size("open_streams") > 0
     settled = parsed.filter(~undecided).select("page_id", "url", F.array_join("texts", " ").alias("text"))
     rest = parsed.filter(undecided).drop("streams", "open_streams", "host").join(decided, "row", "left")

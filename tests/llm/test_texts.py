@@ -297,6 +297,18 @@ def test_repeats_decide_the_rest(spark):
     assert html_text.main_text(frame.limit(0)).count() == 0
 
 
+def test_only_repeated_runs_go_and_near_copies_are_one_page(spark):
+    quote = "what was said by all of us at that time"
+    own = ["Ann adds a thought", "Bob does not agree with any of that"]
+    pages = [f"<div><p>{text} {quote} and {text.lower()}</p></div>" for text in own]
+    story = " ".join(f"w{k}" for k in range(80))
+    pages += [f"<div><p>{story}</p><p>Version {k}</p></div>" for k in range(3)]
+    rows = [(k, f"https://h.example/{k}", page) for k, page in enumerate(pages)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(quote not in got[k] and text in got[k] and text.lower() in got[k] for k, text in enumerate(own))
+    assert [got[k] for k in range(2, 5)] == [f"{story} Version {k}" for k in range(3)]
+
+
 def test_covered_blocks_are_those_of_a_plain_search(spark):
     rng = random.Random(9)
     streams = ["\n".join(" ".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))) for _ in range(4)) for _ in range(25)]
