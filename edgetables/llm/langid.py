@@ -4,13 +4,12 @@ For every language a tree of byte contexts up to three bytes long counts which
 byte follows.  The code length of a byte is taken in the longest context known;
 a byte unseen there costs the escape (method C: as many chances as there are
 different followers) and is coded in the next shorter context, at last among all
-256 bytes.  The statistics are frozen after training, so the code length of every
-byte in every kept context is a table, and a text costs one lookup per byte.  The
-language with the shortest code wins.
+256 bytes.  The statistics are frozen after training, so the code length of a byte
+depends on it and the three before it alone, and is worked out once for each of
+those that occur in a chunk of texts.  The language with the shortest code wins.
 
-Statistics cover every labelled text.  The tree keeps the contexts met most
-often; what falls out costs the shorter context, so the model has a bound
-whatever the corpus.
+Statistics cover every labelled text, and every language keeps all contexts of its
+own, as sorted arrays: no tree depends on other languages or on their number.
 """
 
 from __future__ import annotations
@@ -26,9 +25,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from edgetables.llm.common import CHUNK_CHARS, Folder, chunks_of
 
 ORDER = 3
-MOST_CONTEXTS = 16_384  # kept per order
-MOST_CELLS = 48_000_000  # of the table of code lengths; more languages keep fewer contexts
-MOST_LANGUAGES = 1_000
 UNKNOWN = "und"
 START = b"\0\0\0"
 
@@ -90,92 +86,73 @@ class Model:
     counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
     @cached_property
-    def symbols(self) -> np.ndarray:
-        """Number of each byte: bytes never seen in training share one, as they cost the same."""
-        seen = np.union1d(self.counts[0][0] & 0xFF, [0])
-        of = np.full(256, len(seen), np.int64)
-        of[seen] = np.arange(len(seen))
-        return of
-
-    @cached_property
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """``(row_of, cost)``: the row of three symbols of context, and code lengths in nats by row, symbol, language."""
-        of, n_langs = self.symbols, len(self.languages)
-        size = int(of.max()) + 2
-        fallback = np.zeros(1, np.int64)  # rows of the contexts one byte shorter
-        costs = [np.full((1, size, n_langs), np.log(256.0))]
-        rows = 0
-        for order, (gram, lang, n) in enumerate(self.counts):
-            context = np.zeros(len(gram), np.int64)
-            for k in range(order, 0, -1):
-                context = context * size + of[gram >> (8 * k) & 0xFF]
-            kept, at = np.unique(context, return_inverse=True)
-            total = np.zeros((len(kept), n_langs))
-            kinds = np.zeros((len(kept), n_langs))
-            np.add.at(total, (at, lang), n)
-            np.add.at(kinds, (at, lang), 1)
-            shorter = fallback[kept % size ** max(0, order - 1)] if order else np.zeros(len(kept), np.int64)
-            base = np.concatenate(costs)[shorter]
-            both = total + kinds
-            escape = np.where(total > 0, np.log(np.maximum(both, 1)) - np.log(np.maximum(kinds, 1)), 0.0)
-            cost = base + escape[:, None, :]
-            cost[at, of[gram & 0xFF], lang] = np.log(both[at, lang]) - np.log(n)
-            if order == 0:
-                costs = [cost] if len(kept) else costs
+    def trees(self) -> list[list[tuple[np.ndarray, ...]]]:
+        """By language and order: grams in order and their counts; contexts in order, their counts and numbers of followers."""
+        trees: list[list[tuple[np.ndarray, ...]]] = [[] for _ in self.languages]
+        for gram, lang, n in self.counts:
+            order = np.lexsort((gram, lang))
+            bounds = np.searchsorted(lang[order], np.arange(len(trees) + 1))
+            for tree, start, end in zip(trees, bounds[:-1], bounds[1:]):
+                grams_, n_ = gram[order[start:end]], n[order[start:end]]
+                contexts, first, kinds = np.unique(grams_ >> 8, return_index=True, return_counts=True)
+                total = np.add.reduceat(n_, first) if len(first) else n_[:0]
+                tree.append((grams_, n_, contexts, total, kinds))
+        return trees
+
+    def costs(self, grams_: np.ndarray, lang: int) -> np.ndarray:
+        """Nats of the last byte of each gram after the others."""
+        cost = np.full(len(grams_), np.log(256.0))
+        for order, (known, n, contexts, total, kinds) in enumerate(self.trees[lang]):
+            if not len(known):
                 continue
-            longer = np.tile(fallback, size) if order > 1 else np.zeros(size, np.int64)
-            rows = sum(map(len, costs))
-            longer[kept] = rows + np.arange(len(kept))
-            fallback, costs = longer, [*costs, cost]
-        cost = np.concatenate(costs).astype(np.float32)
-        cost[:, of[0]] = 0.0  # starts of texts
-        return fallback.astype(np.int32), cost.reshape(-1, n_langs)
+            part = grams_ & ((1 << 8 * (order + 1)) - 1)
+            at = np.minimum(np.searchsorted(contexts, part >> 8), len(contexts) - 1)
+            met = contexts[at] == part >> 8
+            both = np.log(total[at] + kinds[at])
+            place = np.minimum(np.searchsorted(known, part), len(known) - 1)
+            escaped = np.where(met, cost + both - np.log(kinds[at]), cost)
+            cost = np.where(known[place] == part, both - np.log(n[place]), escaped)
+        cost[grams_ & 0xFF == 0] = 0.0  # starts of texts
+        return cost
 
     def code_lengths(self, texts: list[str]) -> np.ndarray:
         """Nats of each text in each language."""
-        row_of, cost = self.tables
         coded = [START + text.encode() for text in texts]
-        s = self.symbols[np.frombuffer(b"".join([START, *coded]), np.uint8)].astype(np.int32)
-        size = int(self.symbols.max()) + 2
-        rows = row_of[(s[:-3] * size + s[1:-2]) * size + s[2:-1]].astype(np.int64)
-        each = cost[rows * size + s[3:]]
-        ends = np.cumsum([len(text) for text in coded])
-        return np.add.reduceat(each, np.r_[0, ends[:-1]], axis=0, dtype=np.float64)
+        data = np.frombuffer(b"".join([START, *coded]), np.uint8)
+        found = data[3:].astype(np.uint32)
+        for k in (1, 2, 3):
+            found |= data[3 - k : -k].astype(np.uint32) << np.uint32(8 * k)
+        distinct, at = np.unique(found, return_inverse=True)
+        distinct = distinct.astype(np.int64)
+        starts = np.r_[0, np.cumsum([len(text) for text in coded])[:-1]]
+        lengths = np.empty((len(texts), len(self.languages)))
+        for lang in range(len(self.languages)):
+            lengths[:, lang] = np.add.reduceat(self.costs(distinct, lang)[at], starts)
+        return lengths
 
 
 def train(labelled: DataFrame) -> Model:
-    """Count all texts of ``labelled (lang, text)`` and keep the commonest contexts.
+    """Count all texts of ``labelled (lang, text)``.
 
-    Rows with a null in either column teach nothing.  Of more than
-    ``MOST_LANGUAGES`` labels those with the most text are learned.
+    Rows with a null in either column teach nothing.
     """
     folder = Folder(labelled.sparkSession)
     rows = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     counted = rows.filter("lang is not null and text is not null").mapInArrow(_count, "lang string, gram bigint, n bigint")
     table = folder.store(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    amounts = table.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    languages = sorted(row["lang"] for row in amounts.collect())
+    found = table.toArrow()
+    names = found["lang"].combine_chunks().dictionary_encode()
+    languages = sorted(names.dictionary.to_pylist())
     number = {lang: k for k, lang in enumerate(languages)}
-    most = min(MOST_CONTEXTS, max(256, MOST_CELLS // (2 * 128 * max(1, len(languages)))))
+    to = np.array([number[lang] for lang in names.dictionary.to_pylist()], np.int64)
+    lang = to[names.indices.to_numpy()] if languages else np.zeros(0, np.int64)
+    gram = found["gram"].to_numpy().astype(np.int64)
+    n = found["n"].to_numpy().astype(np.float64)
     counts = []
     for order in range(ORDER + 1):
-        part = table.filter(F.col("lang").isin(languages)).select(
-            "lang", F.col("gram").bitwiseAND((1 << 8 * (order + 1)) - 1).alias("gram"), "n"
-        )
-        part = part.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-        context = F.shiftright("gram", 8)
-        kept = (
-            part.groupBy(context.alias("context")).agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "context")
-        ).limit(most)
-        # At most `most` contexts with 256 followers in every language.
-        found = part.join(F.broadcast(kept.select("context")), F.col("context") == context, "left_semi").toArrow()
-        counts.append(
-            (
-                found["gram"].to_numpy().astype(np.int64),
-                np.array([number[lang] for lang in found["lang"].to_pylist()], np.int64),
-                found["n"].to_numpy().astype(np.float64),
-            )
-        )
+        part = lang << 32 | gram & ((1 << 8 * (order + 1)) - 1)
+        key, count = merged([part], [n]) if len(part) else (part, n)
+        counts.append((key & 0xFFFFFFFF, key >> 32, count))
     folder.drop("grams")
     return Model(languages, counts)
 

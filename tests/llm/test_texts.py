@@ -216,6 +216,20 @@ def test_languages_of_held_out_texts(spark):
         )
 
 
+def test_a_tree_does_not_depend_on_other_languages(spark):
+    rng = random.Random(5)
+    common = ["".join(chr(rng.randrange(0x21, 0x7F)) for _ in range(9000)) for _ in range(40)]
+    rare = [("xa", "qué cosa más rara es esta"), ("xb", "que coisa mais rara é esta")] * 2
+    junk = [(f"junk{k}", f"text {k}") for k in range(1200)]
+    schema = "lang string, text string"
+    alone = langid.train(spark.createDataFrame(rare, schema))
+    among = langid.train(spark.createDataFrame(rare + [("big", t) for t in common] + junk, schema))
+    assert len(among.languages) == 1203
+    own = [among.languages.index(lang) for lang in ("xa", "xb")]
+    texts = ["qué cosa", "coisa rara", "other"]
+    assert among.code_lengths(texts)[:, own].tolist() == alone.code_lengths(texts).tolist()
+
+
 def plain_code_length(model, text, lang):
     tables = []
     for gram, language, n in model.counts:
