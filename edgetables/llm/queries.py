@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from edgetables.llm import embed_dedup, html_text, langid, minhash, packing, pii, token_file, topk, unigram, warc
+from edgetables.llm import (
+    embed_dedup,
+    filter_audit,
+    html_text,
+    langid,
+    minhash,
+    order_minhash,
+    packing,
+    pii,
+    resample,
+    token_file,
+    topk,
+    unigram,
+    warc,
+)
 from edgetables.registry.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,4 +180,82 @@ def _(spark, sf_dir):
     )
 
 
+# CRC-32 of each distinct word: a table of 256 entries, then the bytes one after another.
+CRC_SQL = (
+    "tab AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: "
+    "CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS t), "
+    "crc AS (SELECT feature, 4294967295 - list_reduce(list_transform(range(1, length(x) + 1, 2), lambda i: "
+    "16 * (instr('0123456789ABCDEF', x[i]) - 1) + instr('0123456789ABCDEF', x[i + 1]) - 1), lambda c, b: "
+    "xor(c // 256, t[1 + xor(c % 256, b)]), 4294967295) AS crc FROM (SELECT feature, hex(encode(feature)) AS x FROM u) JOIN tab ON true)"
+)
+WORDS_SQL = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+
+
+@query(
+    "op11_bit_sliced_resampling",
+    f"WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL} AS words FROM documents), "
+    f"dw AS (SELECT r, unnest(words) AS feature FROM d), bw AS (SELECT unnest({WORDS_SQL}) AS feature FROM benchmark), "
+    f"u AS (SELECT feature FROM dw UNION SELECT feature FROM bw), {CRC_SQL}, "
+    "b AS (SELECT feature, crc % 10000 AS bucket FROM crc), "
+    "s AS (SELECT bucket, count(*) AS n FROM dw JOIN b USING (feature) GROUP BY bucket), "
+    "t AS (SELECT bucket, count(*) AS n FROM bw JOIN b USING (feature) GROUP BY bucket), "
+    "z AS (SELECT CAST((SELECT count(*) FROM dw) AS DOUBLE) AS s_all, CAST((SELECT count(*) FROM bw) AS DOUBLE) AS t_all), "
+    "g AS (SELECT s.bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1.0::DOUBLE) * (s_all + 10000) / "
+    "((s.n + 1.0::DOUBLE) * (t_all + 10000)))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket), z), "
+    "w AS (SELECT r, count(*) AS n, CAST(floor(sum(gain)::DOUBLE / count(*)) AS BIGINT) AS weight "
+    "FROM dw JOIN b USING (feature) JOIN g USING (bucket) GROUP BY r), "
+    "h AS (SELECT r, list_reduce(list_transform(range(1, 9), lambda i: instr('0123456789abcdef', x[i]) - 1), "
+    "lambda a, c: 16 * a + c, 0) AS h FROM (SELECT r, sha256('2024:' || doc_id) AS x FROM d)), "
+    "o AS (SELECT doc_id, r, len(words) AS n_words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, "
+    "coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score "
+    "FROM d JOIN h USING (r) LEFT JOIN w USING (r)), "
+    "k AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM o WHERE n_words >= 20 AND score IS NOT NULL) "
+    "SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * (SELECT count(*) FROM k) // 100 THEN rank END AS rank "
+    "FROM o LEFT JOIN k USING (r)",
+)
+def _(spark, sf_dir):
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_order_minhash")
+def _(spark, sf_dir):
+    return order_minhash.with_next(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op13_filter_interactions",
+    "WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS body, "
+    "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents), "
+    "j AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, "
+    "max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id), "
+    "m AS (SELECT doc_id, part, CASE WHEN len(words) < 100 THEN 1 ELSE 0 END "
+    "+ CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 2 ELSE 0 END "
+    "+ CASE WHEN 100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 10 * length(body) THEN 4 ELSE 0 END "
+    "+ CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 8 ELSE 0 END "
+    "+ CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY body) THEN 16 ELSE 0 END AS mask FROM d), "
+    "c AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS g, sum(coalesce(bad, 0)) AS x "
+    "FROM m LEFT JOIN j USING (doc_id) GROUP BY part, mask), "
+    "l AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(name, bit)), "
+    "p AS (SELECT a.name || b.name || e.name || f.name || h.name AS filter_order, [a.bit, b.bit, e.bit, f.bit, h.bit] AS bits "
+    "FROM l a JOIN l b ON b.bit <> a.bit JOIN l e ON e.bit NOT IN (a.bit, b.bit) JOIN l f ON f.bit NOT IN (a.bit, b.bit, e.bit) "
+    "JOIN l h ON h.bit NOT IN (a.bit, b.bit, e.bit, f.bit)), "
+    "s AS (SELECT filter_order, step, bits[step] AS bit, list_sum(bits[1:step]) - bits[step] AS before "
+    "FROM p, (SELECT unnest(range(1, 6)) AS step)), "
+    "r AS (SELECT part, filter_order, step, bit, mask, n, g, x, mask & CAST(bit AS INTEGER) > 0 AS here, "
+    "mask & CAST(before AS INTEGER) > 0 AS gone FROM c, s), "
+    "t AS (SELECT part, filter_order, step, bit, sum(CASE WHEN NOT here AND NOT gone THEN n ELSE 0 END) AS kept, "
+    "sum(CASE WHEN here AND NOT gone THEN n ELSE 0 END) AS removed, sum(CASE WHEN here AND gone THEN n ELSE 0 END) AS redundant, "
+    "sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN here AND NOT gone THEN g ELSE 0 END) AS good_lost, "
+    "sum(CASE WHEN here AND NOT gone THEN x ELSE 0 END) AS toxic_lost FROM r GROUP BY ALL) "
+    "SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, "
+    "CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, "
+    "CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM t",
+)
+def _(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

@@ -28,7 +28,7 @@ def test_query_equals_its_sql(spark, name):
 
 
 def test_there_is_one_query_per_operator():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES if name.startswith("op")) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES if name.startswith("op")) == list(range(1, 14))
 
 
 def test_personal_data(spark):
