@@ -4,6 +4,7 @@ from edgetables.operators.edges import nodes, normalize_edges, shift_ids, symmet
 from edgetables.operators.pairs import attach_labels, component_map, component_sizes, dedup_pairs, graph_stats
 from edgetables.plans.components import component_pairs, connected_components, find_components
 from edgetables.plans.fixed_point import FixedPoint, NotConverged, fixed_point
+from edgetables.plans.keys import number_edges, number_keys
 from edgetables.plans.steps import step_join, step_list, step_window
 from edgetables.sources.edge_lists import edges_from, read_edge_list, read_graph_catalog, write_edge_list
 from edgetables.sources.runs import read_runs, write_runs
@@ -23,6 +24,8 @@ __all__ = [
     "graph_stats",
     "nodes",
     "normalize_edges",
+    "number_edges",
+    "number_keys",
     "read_edge_list",
     "read_graph_catalog",
     "read_runs",

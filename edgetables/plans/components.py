@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from edgetables.operators.pairs import component_map
 from edgetables.plans.contract import step_contract
 from edgetables.plans.fixed_point import MAX_ITERATIONS, FixedPoint, fixed_point
+from edgetables.plans.keys import KeyedEdges, number_edges
 from edgetables.plans.steps import step_join, step_list, step_window
 from edgetables.plans.storage import Workspace
 
@@ -34,10 +35,16 @@ class Components(FixedPoint):
     """A finished loop plus the nodes that no pair mentions."""
 
     lonely: DataFrame | None = None
+    keyed: KeyedEdges | None = None  # for ids that are no whole numbers: ``pairs`` holds their numbers
 
     def labels(self) -> DataFrame:
         """``(node, component)`` for every node of the input, component = smallest id."""
-        return component_map(self.pairs, self.lonely)
+        found = component_map(self.pairs, self.lonely)
+        return self.keyed.decoded(found) if self.keyed else found
+
+    def star_pairs(self) -> DataFrame:
+        """``(src, dst)``: every node but the roots with its root."""
+        return self.keyed.decoded(self.pairs) if self.keyed else self.pairs
 
 
 def find_components(
@@ -52,14 +59,25 @@ def find_components(
 
     The edges are read once and stored canonical, which fixes their number.
     Self-loops and edges with one null end only tell that a node
-    exists; they are kept aside and join the labels at the end.  Ids are whole
-    numbers; hash others first.
+    exists; they are kept aside and join the labels at the end.
+
+    Ids are whole numbers, or anything else that Spark can order (text, dates,
+    decimals, binary, structs), both ends of one type.  Other ids than whole
+    numbers are numbered in their order first and decoded in the labels.
     """
-    kinds = dict(edges.dtypes)
-    if wrong := {end: kinds.get(end) for end in ("src", "dst") if kinds.get(end) not in ID_TYPES}:
-        raise TypeError(f"ids must be whole numbers, not {wrong}")
+    kinds = {end: dict(edges.dtypes).get(end) for end in ("src", "dst")}
     step, distinct = STRATEGIES[strategy]
     workspace = Workspace(edges.sparkSession)
+    keyed = None
+    if any(kind not in ID_TYPES for kind in kinds.values()):
+        if kinds["src"] != kinds["dst"]:
+            raise TypeError(f"both ends must have one type, not {kinds}")
+        try:
+            keyed = number_edges(edges, workspace, max_group_rows)
+        except BaseException:
+            workspace.close()
+            raise
+        edges = keyed.edges
     low, high = F.least("src", "dst"), F.greatest("src", "dst")  # a null end yields the other one twice
     canonical = edges.select(high.cast("bigint").alias("src"), low.cast("bigint").alias("dst"))
     if distinct:
@@ -89,7 +107,9 @@ def find_components(
         lonely = stored.filter(is_lonely).select(F.col("src").alias("node"), F.col("dst").alias("component"))
     else:
         workspace.drop("edges")
-    return Components(run.pairs, run.iterations, run.converged, run.metrics, workspace, lonely)
+    if keyed:
+        workspace.drop("keyed-edges")
+    return Components(run.pairs, run.iterations, run.converged, run.metrics, workspace, lonely, keyed)
 
 
 def _finished(edges: DataFrame, strategy: str, options: dict) -> Components:
@@ -100,7 +120,7 @@ def _finished(edges: DataFrame, strategy: str, options: dict) -> Components:
 
 def component_pairs(edges: DataFrame, strategy: str = "contract", **options) -> DataFrame:
     """Star pairs ``(src, dst)``: every node but the roots with its root."""
-    return _finished(edges, strategy, options).pairs
+    return _finished(edges, strategy, options).star_pairs()
 
 
 def connected_components(edges: DataFrame, strategy: str = "contract", **options) -> DataFrame:

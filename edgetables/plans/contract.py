@@ -20,10 +20,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from edgetables.functions.ids import big
-from edgetables.plans.hot_groups import MAX_GROUP_ROWS, join_hot
+from edgetables.plans.hot_groups import MAX_GROUP_ROWS, SPREAD, join_hot
 
 MAX_BROADCAST_ROWS = 500_000  # two longs per row: 8 MB
-SPREAD = 65_536  # salts for rows that must not meet
 
 
 def step_contract(pairs: DataFrame, n_pairs: int | None = None, max_group_rows: int | None = None) -> DataFrame:

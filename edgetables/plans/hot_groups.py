@@ -23,6 +23,7 @@ from edgetables.functions.ids import big
 
 MAX_GROUP_ROWS = 8_000_000  # two longs per row: 128 MB, one ordinary partition
 MAX_HOT_KEYS = 200_000  # three longs each: 5 MB
+SPREAD = 65_536  # salts for rows that must not meet
 
 
 @dataclass
@@ -40,6 +41,30 @@ def join_hot(rows: DataFrame, hot: DataFrame, key: str, n_rows: int, limit: int)
     return rows.join(F.broadcast(hot) if n_rows // limit <= MAX_HOT_KEYS else hot, key, "left")
 
 
+def join_facts(
+    rows: DataFrame, facts: DataFrame, key: str, n_rows: int, max_group_rows: int | None = None
+) -> DataFrame:
+    """Left join with a table that has one row per key, whatever share of ``rows`` one key owns.
+
+    The facts of hot keys are looked up once per key and travel to their rows;
+    those rows, and rows without a key, pass the join under salts that match
+    nothing.  ``n_rows`` is an upper bound for ``rows``.
+    """
+    limit = max_group_rows or MAX_GROUP_ROWS
+    if n_rows <= limit:
+        return rows.join(facts, key, "left")
+    values = [c for c in facts.columns if c != key]
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__size")).filter((F.col("__size") > limit) & F.col(key).isNotNull())
+    hot = sizes.join(facts, key, "left").select(
+        key, F.lit(True).alias("__hot"), *[F.col(c).alias(f"__hot_{c}") for c in values]
+    )
+    marked = join_hot(rows, hot, key, n_rows, limit)
+    apart = F.coalesce("__hot", F.col(key).isNull())
+    salt = F.when(apart, 1 + F.pmod(F.xxhash64(*rows.columns), big(SPREAD))).otherwise(big(0))
+    met = marked.withColumn("__salt", salt).join(facts.withColumn("__salt", big(0)), [key, "__salt"], "left")
+    return met.select(*rows.columns, *[F.coalesce(f"__hot_{c}", c).alias(c) for c in values])
+
+
 def salted_groups(
     pairs: DataFrame, n_rows: int | None = None, max_group_rows: int | None = None, drop_roots: bool = False
 ) -> SplitGroups:

@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from edgetables.operators import pairs as P
 from edgetables.plans.components import component_pairs, connected_components, find_components
 from edgetables.plans.fixed_point import fixed_point
+from edgetables.plans.keys import number_edges, number_keys
 from edgetables.plans.steps import step_join
-from edgetables.registry.base import query
-from edgetables.registry.graphs import EDGE_SQL, GRAPHS, cust_orders, event_chain, order_part, same_doc
+from edgetables.registry.base import query, table
+from edgetables.registry.graphs import (
+    EDGE_SQL,
+    GRAPHS,
+    cust_orders,
+    event_chain,
+    order_part,
+    same_doc,
+    source_lang,
+    text_docs,
+)
+from edgetables.sources.edge_lists import edges_from
 
 
 def labels_sql(graph: str, tail: str = "SELECT node, comp AS component FROM cc") -> str:
@@ -63,6 +76,55 @@ def _(spark, sf_dir):
     return fixed_point(P.dedup_pairs(same_doc(spark, sf_dir)), step_join).pairs
 
 
+# Keys that are no whole numbers; the split form takes the plans of very large tables.
+for suffix, limit in (("", None), ("_split", 20)):
+
+    @query(f"cc_keys_text_docs{suffix}", labels_sql("text_docs"))
+    def _(spark, sf_dir, limit=limit):
+        return connected_components(text_docs(spark, sf_dir), max_group_rows=limit)
+
+
+@query(
+    "cc_keys_source_lang",
+    labels_sql(
+        "source_lang",
+        "SELECT CAST(node[1] AS INTEGER) AS side, node[2:] AS key, CAST(comp[1] AS INTEGER) AS component_side, "
+        "comp[2:] AS component_key FROM cc",
+    ),
+)
+def _(spark, sf_dir):
+    labels = connected_components(source_lang(spark, sf_dir))
+    return labels.select(
+        "node.side", "node.key", F.col("component.side").alias("component_side"), F.col("component.key").alias("component_key")
+    )
+
+
+@query("pairs_keys_text_docs", labels_sql("text_docs", "SELECT node AS src, comp AS dst FROM cc WHERE node <> comp"))
+def _(spark, sf_dir):
+    return component_pairs(text_docs(spark, sf_dir))
+
+
+@query(
+    "number_keys",
+    "SELECT c_name AS key, row_number() OVER (ORDER BY c_name) - 1 AS id FROM (SELECT DISTINCT c_name FROM customer WHERE c_name IS NOT NULL)",
+)
+def _(spark, sf_dir):
+    return number_keys(table(spark, sf_dir, "customer"), "c_name")
+
+
+@query(
+    "number_edges",
+    "WITH e AS (SELECT o_orderdate AS src, l_shipdate AS dst FROM lineitem JOIN orders ON o_orderkey = l_orderkey), "
+    "k AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS id FROM (SELECT src AS key FROM e UNION SELECT dst FROM e) "
+    "WHERE key IS NOT NULL) SELECT a.id AS src, b.id AS dst FROM e LEFT JOIN k a ON a.key = src LEFT JOIN k b ON b.key = dst",
+)
+def _(spark, sf_dir):
+    """Dates as keys: the day of each order with the days on which its lines left."""
+    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    dated = table(spark, sf_dir, "orders").join(lines, "o_orderkey")
+    return number_edges(edges_from(dated, "o_orderdate", "l_shipdate")).edges
+
+
 @query(
     "component_sizes",
     labels_sql("cust_orders", "SELECT comp AS component, count(*) AS n_nodes FROM cc GROUP BY comp"),

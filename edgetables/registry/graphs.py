@@ -42,6 +42,17 @@ def same_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges_from(firsts, "min_dst", "dst")
 
 
+def text_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of text: the digest of each text with the name of its document."""
+    name = F.concat(F.lit("doc-"), "doc_id")
+    return edges_from(table(spark, sf_dir, "documents"), F.sha2("text", 256), name)
+
+
+def source_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of two sides: the source and the language of each document."""
+    return edges_from(table(spark, sf_dir, "documents"), "source", "lang", two_sided=True)
+
+
 GRAPHS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cust_orders": cust_orders,
     "order_part": order_part,
@@ -58,6 +69,14 @@ EDGE_SQL = {
         "SELECT src, dst FROM (SELECT event_id AS src, lead(event_id) OVER "
         "(PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events) WHERE dst IS NOT NULL"
     ),
+    "text_docs": (
+        "SELECT coalesce(sha256(text), 'doc-' || doc_id) AS src, coalesce('doc-' || doc_id, sha256(text)) AS dst "
+        "FROM documents WHERE text IS NOT NULL OR doc_id IS NOT NULL"
+    ),
+    "source_lang": (
+        "SELECT coalesce('0' || source, '1' || lang) AS src, coalesce('1' || lang, '0' || source) AS dst "
+        "FROM documents WHERE source IS NOT NULL OR lang IS NOT NULL"
+    ),
     "same_doc": (
         "SELECT m AS src, doc_id AS dst FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS m "
         "FROM documents) WHERE m <> doc_id"

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from edgetables.plans.hot_groups import join_facts
+from edgetables.plans.keys import number_keys
 from edgetables.plans.storage import Workspace
-from edgetables.registry.base import query, table
+from edgetables.registry.base import query, row_count, table
 from edgetables.registry.graphs import EDGE_SQL, cust_orders, order_part
 from edgetables.sources.edge_lists import read_edge_list, read_graph_catalog, read_graph_meta, write_edge_list
 from edgetables.sources.runs import read_runs, write_runs
@@ -51,33 +53,49 @@ def _(spark, sf_dir):
     return read_edge_list(spark, path, mode="dropmalformed")
 
 
-@query(
-    "graph_catalog",
+FILE_EDGES = 1_000_000
+CATALOG_SQL = (
     "SELECT o_orderpriority AS graph_type, count(*) AS n_nodes, CAST(0 AS BIGINT) AS n_edges, "
-    "CAST(-1 AS BIGINT) AS n_components, count(DISTINCT o_custkey) AS diameter FROM orders GROUP BY o_orderpriority",
+    "CAST(-1 AS BIGINT) AS n_components, count(DISTINCT o_custkey) AS diameter FROM orders GROUP BY o_orderpriority"
 )
-def _(spark, sf_dir):
-    """One file per order priority with its counts as header lines; edges and components stay undeclared.
 
-    The edges themselves lie beside it, in files of any number.
-    """
-    orders = table(spark, sf_dir, "orders")
-    counts = orders.groupBy("o_orderpriority").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("o_custkey").alias("d")
-    )
+
+def priority_files(spark, sf_dir) -> str:
+    """Edges of customers and orders by order priority: files of about a million edges, each under its header lines."""
+    orders = table(spark, sf_dir, "orders").select("o_orderpriority", "o_custkey", "o_orderkey")
+    counts = orders.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_custkey").alias("d"))
+    numbered = number_keys(counts, "o_orderpriority").select(F.col("key").alias("o_orderpriority"), F.col("id").alias("graph"))
+    graphs = counts.join(numbered, "o_orderpriority").withColumn("files", F.ceil(F.col("n") / FILE_EDGES).cast("bigint"))
+    file = F.pmod(F.xxhash64("o_orderkey"), F.col("files"))
+    edges = join_facts(orders, graphs.select("o_orderpriority", "graph", "files"), "o_orderpriority", row_count(spark, sf_dir, "orders"))
+    edges = edges.select("graph", file.alias("file"), F.lit(1).alias("line"), F.concat_ws(" ", "o_custkey", "o_orderkey").alias("value"))
     header = F.array(
         F.concat(F.lit("# graph_type: "), "o_orderpriority"),
         F.concat(F.lit("# n_nodes: "), "n"),
         F.concat(F.lit("# note: "), "n"),
         F.concat(F.lit("# diameter: "), "d"),
     )
-    folder = Workspace(spark)
-    edges = orders.select("o_orderpriority", F.concat_ws(" ", "o_custkey", "o_orderkey").alias("value"))
-    edges.write.partitionBy("o_orderpriority").text(folder.table("edges"))
-    heads = counts.select("o_orderpriority", F.explode(header).alias("value"))  # four lines per graph
-    path = folder.table("graphs")
-    heads.repartition("o_orderpriority").write.partitionBy("o_orderpriority").text(path)
-    return read_graph_catalog(spark, f"{path}/*/*.txt").drop("path")
+    heads = graphs.select("graph", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("files") - 1)).alias("file"), header.alias("header"))
+    heads = heads.select("graph", "file", F.lit(0).alias("line"), F.explode("header").alias("value"))
+    lines = heads.unionByName(edges).repartition("graph", "file").sortWithinPartitions("graph", "file", "line")
+    path = Workspace(spark).table("graphs")
+    lines.drop("line").write.partitionBy("graph", "file").text(path)
+    return f"{path}/*/*/*.txt"
+
+
+# Read from the tops of the files, and from all of their lines.
+for name, headers in (("graph_catalog", "top"), ("graph_catalog_anywhere", "anywhere")):
+
+    @query(name, CATALOG_SQL)
+    def _(spark, sf_dir, headers=headers):
+        """Edges and components stay undeclared; the files of a graph say the same of it."""
+        return read_graph_catalog(spark, priority_files(spark, sf_dir), headers=headers).drop("path").distinct()
+
+
+@query("catalog_edges", "SELECT o_custkey AS src, o_orderkey AS dst FROM orders")
+def _(spark, sf_dir):
+    """The edges below the headers of the same files."""
+    return read_edge_list(spark, priority_files(spark, sf_dir))
 
 
 @query(

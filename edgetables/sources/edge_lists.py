@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from edgetables.functions.ids import big
 from edgetables.functions.text import HEADER_KEYS, header_key, header_value, id_token, is_header, stripped, tokens
+from edgetables.sources.files import read_header
 
 MODES = ("failfast", "dropmalformed")
+HEADER_PLACES = ("top", "anywhere")
 UNKNOWN_TYPE = "unknown"
+NUMBER_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double")
 GZIP_RATIO = 4  # of edge lists, about
 PARTITION_BYTES = 128 * 1024 * 1024
 # What a missing header entry means.
@@ -63,25 +68,37 @@ def read_graph_meta(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"path string, graph_type string, {fields}").json(path)
 
 
-def read_graph_catalog(spark: SparkSession, path: str, meta: str | None = None) -> DataFrame:
+def read_graph_catalog(spark: SparkSession, path: str, meta: str | None = None, headers: str = "top") -> DataFrame:
     """One row per text file: what is known of its graph.
 
     Files whose folder has a metadata table under ``meta`` (a glob of tables
-    written by :func:`write_edge_list`) take its entries and are not read.  The
-    others are scanned for ``# key: value`` lines; unknown keys are ignored and
-    missing ones get defaults, for files without any header line too.
+    written by :func:`write_edge_list`) take its entries and are not read.  Of the
+    others the ``# key: value`` lines at the top are read, up to the first line
+    that is neither comment nor blank, so a file costs its first bytes whatever its
+    size.  Unknown keys are ignored; missing ones get defaults, for files without any header line too.
+    Spark does not list files without a byte, so they give no row.
+
+    Tasks open the files themselves, on file systems that Arrow knows.
+    ``headers="anywhere"`` reads all lines with Spark's own reader instead: on
+    any file system, and with comment lines between the edges.
     """
-    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path"))
-    if meta is None:
-        return _scanned_catalog(spark, path, files)
-    known = read_graph_meta(spark, meta).withColumn("folder", _plain_path(F.col("path"))).drop("path")
-    by_folder = files.withColumn("folder", _plain_path(F.regexp_replace("path", "/[^/]*$", "")))
-    described = by_folder.join(known, "folder").drop("folder")
-    # Spark lists the paths it reads on the driver as well.
-    rest = [row["path"] for row in by_folder.join(known, "folder", "left_anti").select("path").collect()]
-    if not rest:
-        return described
-    return described.unionByName(_scanned_catalog(spark, rest, files.filter(F.col("path").isin(rest))))
+    if headers not in HEADER_PLACES:
+        raise ValueError(f"headers must be one of {HEADER_PLACES}, not {headers!r}")
+    # Without its content the file source lists files and reads none.
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path"), F.col("path").alias("place"))
+    described, rest = None, files
+    if meta is not None:
+        known = read_graph_meta(spark, meta).withColumn("folder", _plain_path(F.col("path"))).drop("path")
+        by_folder = files.withColumn("folder", _plain_path(F.regexp_replace("place", "/[^/]*$", "")))
+        described = by_folder.join(known, "folder").drop("folder", "place")
+        rest = by_folder.join(known, "folder", "left_anti").drop("folder")
+    read = _top_headers(rest) if headers == "top" else _all_headers(spark, path, rest)
+    catalog = read.select(
+        "path",
+        F.coalesce("graph_type", F.lit(UNKNOWN_TYPE)).alias("graph_type"),
+        *[F.coalesce(F.col(key).try_cast("bigint"), big(default)).alias(key) for key, default in HEADER_DEFAULTS.items()],
+    )
+    return catalog if described is None else described.unionByName(catalog)
 
 
 def _plain_path(path: Column) -> Column:
@@ -89,8 +106,22 @@ def _plain_path(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, "^[A-Za-z0-9+.-]+:/+|^/+", "/"), "/+$", "")
 
 
-def _scanned_catalog(spark: SparkSession, path: str | list[str], files: DataFrame) -> DataFrame:
-    headers = (
+def _top_headers(files: DataFrame) -> DataFrame:
+    """``path`` and the entries as text, each file opened where its row is."""
+
+    def read(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [read_header(place) for place in batch.column(1).to_pylist()]
+            entries = [pa.array([one.get(key) for one in found], pa.string()) for key in HEADER_KEYS]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *entries], names=["path", *HEADER_KEYS])
+
+    return files.select("path", "place").mapInArrow(read, ", ".join(f"{c} string" for c in ("path", *HEADER_KEYS)))
+
+
+def _all_headers(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
+    entries = (
         spark.read.text(path)
         .select(F.col("_metadata.file_path").alias("path"), "value")
         .filter(is_header(F.col("value")))
@@ -99,14 +130,7 @@ def _scanned_catalog(spark: SparkSession, path: str | list[str], files: DataFram
         .pivot("key", HEADER_KEYS)
         .agg(F.max("entry"))
     )
-    return files.join(headers, "path", "left").select(
-        "path",
-        F.coalesce("graph_type", F.lit(UNKNOWN_TYPE)).alias("graph_type"),
-        *[
-            F.coalesce(F.col(key).try_cast("bigint"), big(default)).alias(key)
-            for key, default in HEADER_DEFAULTS.items()
-        ],
-    )
+    return files.select("path").join(entries, "path", "left")
 
 
 def edges_from(
@@ -121,10 +145,26 @@ def edges_from(
 
     ``two_sided`` keeps the ends apart whatever their ids: ``src`` becomes even,
     ``dst`` odd.  Offsets are for ranges that are known not to meet.
-    """
 
-    def end(key: str | Column, offset: int, side: int) -> Column:
-        key = (F.col(key) if isinstance(key, str) else key).cast("bigint")
-        return 2 * key + big(side) if two_sided else key + big(offset)
+    Numbers become whole numbers.  Keys of another type stay as they are, or
+    become text if the two types differ; ``two_sided`` then makes them structs
+    ``(side, key)`` with side 0 or 1 and a null for a null key, and there are no offsets.
+    """
+    ends = table.select(src, dst).dtypes
+    if all(kind in NUMBER_TYPES or kind.startswith("decimal") for _, kind in ends):
+
+        def end(key: str | Column, offset: int, side: int) -> Column:
+            key = (F.col(key) if isinstance(key, str) else key).cast("bigint")
+            return 2 * key + big(side) if two_sided else key + big(offset)
+
+    else:
+        if src_offset or dst_offset:
+            raise TypeError(f"offsets are for numbers, not for {dict(ends)}")
+        same = ends[0][1] == ends[1][1]
+
+        def end(key: str | Column, offset: int, side: int) -> Column:
+            key = F.col(key) if isinstance(key, str) else key
+            key = key if same else key.cast("string")
+            return F.when(key.isNotNull(), F.struct(F.lit(side).alias("side"), key.alias("key"))) if two_sided else key
 
     return table.select(end(src, src_offset, 0).alias("src"), end(dst, dst_offset, 1).alias("dst"))

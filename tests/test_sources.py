@@ -1,10 +1,12 @@
 import gzip
+import io
 from types import SimpleNamespace
 
 import pytest
 
 from edgetables import read_edge_list, read_graph_catalog, read_runs, write_edge_list, write_runs
 from edgetables.plans.storage import checkpoint_root
+from edgetables.sources import files
 from edgetables.sources.edge_lists import edges_from, read_graph_meta
 
 TEXT = "# graph_type: chain\n# n_nodes: 3\n\n1 2\n \t2   3 9\n-4\t5\n   \n#x\n"
@@ -64,6 +66,52 @@ def test_catalog_takes_metadata_tables_first(spark, edges, tmp_path):
     assert [r["graph_type"] for r in only] == ["star"]
 
 
+def test_catalog_reads_the_tops_of_files(spark, tmp_path):
+    (tmp_path / "big file é.txt").write_text("\n# graph_type: web\n#n_nodes:7\n \n#\n" + "1 2\n" * 10_000_000 + "# n_edges: 5\n")
+    with gzip.open(tmp_path / "packed.txt.gz", "wt") as out:
+        out.write("# n_nodes: 4\r\n# n_nodes: 30\r\n# graph_type: x: y\r\n1 2\r\n# diameter: 3\r\n")
+    (tmp_path / "empty.txt").write_text("")
+    (tmp_path / "comments.txt").write_text("# a\n# diameter: 9\n# " + "x" * 3_000_000 + "\n# n_edges: 8\n# n_nodes: many")
+    (tmp_path / "one line.txt").write_text("9" * 5_000_000)
+    (tmp_path / "odd.txt").write_bytes(b"\xff\xfe\n# n_nodes: 3\n")
+    top = {r["path"].rsplit("/", 1)[1]: tuple(r)[1:] for r in read_graph_catalog(spark, str(tmp_path)).collect()}
+    assert top == {
+        "big%20file%20é.txt": ("web", 7, 0, -1, -1),
+        "packed.txt.gz": ("unknown", 4, 0, -1, -1),
+        "comments.txt": ("unknown", 0, 8, -1, 9),
+        "one%20line.txt": ("unknown", 0, 0, -1, -1),
+        "odd.txt": ("unknown", 0, 0, -1, -1),
+    }
+    everywhere = read_graph_catalog(spark, f"{tmp_path}/[bp]*", headers="anywhere").collect()
+    assert sorted(tuple(r)[1:] for r in everywhere) == [("unknown", 4, 0, -1, 3), ("web", 7, 5, -1, -1)]
+    with pytest.raises(ValueError):
+        read_graph_catalog(spark, str(tmp_path), headers="all")
+
+
+def test_a_header_costs_its_first_bytes(tmp_path):
+    (tmp_path / "g.txt").write_text("# n_nodes: 7\n" + "1 2\n" * 1_000_000)
+    with open(tmp_path / "g.txt", "rb", buffering=0) as raw:
+        buffered = io.BufferedReader(raw, files.READ_BYTES)
+        assert files.header_entries(io.TextIOWrapper(buffered)) == {"n_nodes": "7"}
+        assert raw.tell() <= files.READ_BYTES
+
+
+@pytest.mark.parametrize("path, place", [
+    ("s3a://bucket/a/b c.txt", ("s3", "bucket", "/a/b c.txt")),
+    ("s3n://bucket/a", ("s3", "bucket", "/a")),
+    ("s3://bucket/", ("s3", "bucket", "/")),
+    ("hdfs://name:8020/x/y", ("hdfs", "name:8020", "/x/y")),
+    ("hdfs:/x", ("hdfs", "", "/x")),
+    ("file:/tmp/x", ("file", "", "/tmp/x")),
+    ("file:///tmp/x#1%", ("file", "", "/tmp/x#1%")),
+    ("/tmp/x", ("file", "", "/tmp/x")),
+    ("gs://b/x", ("gs", "b", "/x")),
+    ("abfss://c@account.dfs.core.windows.net/x", ("abfss", "c@account.dfs.core.windows.net", "/x")),
+])
+def test_paths_as_arrow_wants_them(path, place):
+    assert files.arrow_location(path) == place
+
+
 def test_edges_from_reads_two_columns_only(spark, tmp_path):
     spark.range(5).selectExpr("id", "id + 1 as b", "'x' as c").write.parquet(str(tmp_path / "t"))
     frame = edges_from(spark.read.parquet(str(tmp_path / "t")), "id", "b", dst_offset=100)
