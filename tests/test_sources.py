@@ -92,7 +92,8 @@ def test_a_header_costs_its_first_bytes(tmp_path):
     (tmp_path / "g.txt").write_text("# n_nodes: 7\n" + "1 2\n" * 1_000_000)
     with open(tmp_path / "g.txt", "rb", buffering=0) as raw:
         buffered = io.BufferedReader(raw, files.READ_BYTES)
-        assert files.header_entries(io.TextIOWrapper(buffered)) == {"n_nodes": "7"}
+        text = io.TextIOWrapper(buffered)
+        assert files.header_entries(text) == {"n_nodes": "7"}
         assert raw.tell() <= files.READ_BYTES
 
 
