@@ -48,7 +48,6 @@ def test_pieces_and_files(spark):
 
     def ids(name, end):
         library = tokenizers.Tokenizer.from_file(public_tokenizers.path(name))
-        library.encode_special_tokens = True
         return {d["doc_id"]: library.encode(d["text"] or "", add_special_tokens=False).ids + [end] for d in table("documents")}
 
     want = ids("word_bpe_49k.json", 1)

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 
 from edgetables.llm import packing, token_file, unigram
-from edgetables.llm.tokens import WordEncoder
+from edgetables.llm import tokens
+from edgetables.llm.tokens import UnitEncoder
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 WORDS, BYTES, PIECES = map(public_tokenizers.path, ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -24,7 +25,7 @@ DOCS = [
 
 
 def ids_of(path, text, end):
-    encoder = WordEncoder(path, path == BYTES).library
+    encoder = UnitEncoder(path, path == BYTES).library
     return [*encoder.encode(text or "", add_special_tokens=False).ids, end]
 
 
@@ -38,14 +39,43 @@ def fuzz(n, seed):
         yield " ".join(word + rng.choice(["", ".", ",", "..", "!", "\n"]) for word in words)
 
 
+@pytest.mark.parametrize("special", [True, False])
 @pytest.mark.parametrize("path, white_matters", [(WORDS, False), (BYTES, True)])
-def test_words_encode_as_the_whole_text_does(path, white_matters):
-    encoder = WordEncoder(path, white_matters)
+def test_units_encode_as_the_whole_text_does(path, white_matters, special):
+    encoder = UnitEncoder(path, white_matters, special)
     texts = list(fuzz(1500, 4))
+    for _ in range(2):  # the second time from memory
+        for text, got in zip(texts, encoder.encode(texts)):
+            assert array("I", got).tolist() == encoder.library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+@pytest.mark.parametrize("path, white_matters", [(WORDS, False), (BYTES, True)])
+def test_ascii_and_apostrophes(path, white_matters):
+    encoder, rng = UnitEncoder(path, white_matters), random.Random(8)
+    alphabet = "abS'tlL.,-1 2\n\t 'srEvm~\x00\x7f"
+    texts = ["".join(rng.choices(alphabet, k=rng.randrange(40))) for _ in range(4000)]
+    texts += ["don't", "'S 's 'll", "a.'s", "it''s", "x'", "' s", "a1'd", "1'd2", "\n'm", "<|endoftext|", "I'M<|ENDOFTEXT|>"]
     for text, got in zip(texts, encoder.encode(texts)):
         assert array("I", got).tolist() == encoder.library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_special_tokens_are_those_of_the_file():
+    assert len(UnitEncoder(BYTES, True).encode(["one <|endoftext|> two"])[0]) == 4 * 4
+    assert len(UnitEncoder(BYTES, True, special=False).encode(["one <|endoftext|> two"])[0]) > 4 * 4
+    assert array("I", UnitEncoder(WORDS, False).encode(["a<|startoftext|>"])[0])[-1] == 49406
+
+
+@pytest.mark.parametrize("path, white_matters", [(WORDS, False), (BYTES, True)])
+def test_little_memory_and_long_texts_change_nothing(monkeypatch, path, white_matters):
+    monkeypatch.setattr(tokens, "REMEMBERED", 40)
+    monkeypatch.setattr(tokens, "CHUNK", 200)
+    encoder = UnitEncoder(path, white_matters)
+    texts = [*fuzz(200, 9), "one two  three\n\nfour " * 90, "x" * 3000, " ".join(fuzz(60, 5)).replace("<", ""), " \n" * 400]
+    for text, got in zip(texts, encoder.encode(texts)):
+        assert array("I", got).tolist() == encoder.library.encode(text, add_special_tokens=False).ids, repr(text[:99])
+    assert len(encoder.known.keys) <= 40
+
+
 def test_packing_is_gapless_and_holds_every_id_once(spark):
     pieces = packing.pack(spark.createDataFrame(DOCS, SCHEMA).repartition(3), WORDS, window=64)
     rows = sorted((r["sequence_id"], r["offset"], r) for r in pieces.collect())
