@@ -8,8 +8,10 @@ different followers) and is coded in the next shorter context, at last among all
 depends on it and the three before it alone, and is worked out once for each of
 those that occur in a chunk of texts.  The language with the shortest code wins.
 
-Statistics cover every labelled text, and every language keeps all contexts of its
-own, as sorted arrays: no tree depends on other languages or on their number.
+Every language learns from a sample of its labelled rows, ``LANGUAGE_ROWS`` of them
+(all, if it has fewer), drawn by a hash of the text, and keeps all contexts of its
+own, as sorted arrays: no tree depends on other languages or on their number, and
+the model of a language stops growing with the corpus.
 """
 
 from __future__ import annotations
@@ -22,9 +24,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from edgetables.llm.common import CHUNK_CHARS, Folder, chunks_of
+from edgetables.llm.common import Folder, chunks_of, slices
 
 ORDER = 3
+LANGUAGE_ROWS = 20_000  # that a language learns from, but for chance
+CHUNK_CHARS = 1_000_000
 UNKNOWN = "und"
 START = b"\0\0\0"
 
@@ -56,13 +60,13 @@ def _count(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     held: dict[str, tuple[list, list]] = {}
-    for batch in batches:
+    for batch in slices(batches):
         texts: dict[str, list[str]] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             texts.setdefault(lang, []).append(text)
         for lang, some in texts.items():
             keys, counts = held.setdefault(lang, ([], []))
-            for start, end in chunks_of(some):
+            for start, end in chunks_of(some, CHUNK_CHARS):
                 found = np.sort(grams(some[start:end]))
                 if len(found):
                     first = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
@@ -80,7 +84,7 @@ def _count(batches: Iterator) -> Iterator:
 
 @dataclass
 class Model:
-    """Counts of a followed context per language: for each order, ``(gram, language, n)`` arrays."""
+    """Counts of a followed context per language: for each order, ``(gram, language, n)`` arrays by language and gram."""
 
     languages: list[str]
     counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -90,13 +94,12 @@ class Model:
         """By language and order: grams in order and their counts; contexts in order, their counts and numbers of followers."""
         trees: list[list[tuple[np.ndarray, ...]]] = [[] for _ in self.languages]
         for gram, lang, n in self.counts:
-            order = np.lexsort((gram, lang))
-            bounds = np.searchsorted(lang[order], np.arange(len(trees) + 1))
+            bounds = np.searchsorted(lang, np.arange(len(trees) + 1))
             for tree, start, end in zip(trees, bounds[:-1], bounds[1:]):
-                grams_, n_ = gram[order[start:end]], n[order[start:end]]
-                contexts, first, kinds = np.unique(grams_ >> 8, return_index=True, return_counts=True)
+                grams_, n_ = gram[start:end], n[start:end]
+                contexts, first, kinds = np.unique(grams_ >> np.uint32(8), return_index=True, return_counts=True)
                 total = np.add.reduceat(n_, first) if len(first) else n_[:0]
-                tree.append((grams_, n_, contexts, total, kinds))
+                tree.append((grams_, n_, contexts, total, kinds.astype(np.int32)))
         return trees
 
     def costs(self, grams_: np.ndarray, lang: int) -> np.ndarray:
@@ -105,9 +108,10 @@ class Model:
         for order, (known, n, contexts, total, kinds) in enumerate(self.trees[lang]):
             if not len(known):
                 continue
-            part = grams_ & ((1 << 8 * (order + 1)) - 1)
-            at = np.minimum(np.searchsorted(contexts, part >> 8), len(contexts) - 1)
-            met = contexts[at] == part >> 8
+            part = grams_ & np.uint32((1 << 8 * (order + 1)) - 1)
+            above = part >> np.uint32(8)
+            at = np.minimum(np.searchsorted(contexts, above), len(contexts) - 1)
+            met = contexts[at] == above
             both = np.log(total[at] + kinds[at])
             place = np.minimum(np.searchsorted(known, part), len(known) - 1)
             escaped = np.where(met, cost + both - np.log(kinds[at]), cost)
@@ -123,7 +127,6 @@ class Model:
         for k in (1, 2, 3):
             found |= data[3 - k : -k].astype(np.uint32) << np.uint32(8 * k)
         distinct, at = np.unique(found, return_inverse=True)
-        distinct = distinct.astype(np.int64)
         starts = np.r_[0, np.cumsum([len(text) for text in coded])[:-1]]
         lengths = np.empty((len(texts), len(self.languages)))
         for lang in range(len(self.languages)):
@@ -131,14 +134,25 @@ class Model:
         return lengths
 
 
-def train(labelled: DataFrame) -> Model:
-    """Count all texts of ``labelled (lang, text)``.
+def sample(rows: DataFrame, most: int, folder: Folder) -> DataFrame:
+    """About ``most`` rows of every language that has more, all of the others, by a hash of the text."""
+    # Stored, so that Spark knows how few rows it joins the texts with and leaves them where they are.
+    sizes = folder.store(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    share = F.lit(float(most)) / F.col("size")
+    drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 32)) / float(1 << 32)
+    return rows.join(sizes, "lang").filter(drawn < share).select(*rows.columns)
 
-    Rows with a null in either column teach nothing.
+
+def train(labelled: DataFrame, most: int = LANGUAGE_ROWS) -> Model:
+    """Count the texts of ``labelled (lang, text)``, of each language about ``most`` rows.
+
+    Rows with a null in either column teach nothing; an empty table makes a model
+    that knows no language.
     """
     folder = Folder(labelled.sparkSession)
     rows = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counted = rows.filter("lang is not null and text is not null").mapInArrow(_count, "lang string, gram bigint, n bigint")
+    rows = sample(rows.filter("lang is not null and text is not null"), most, folder)
+    counted = rows.mapInArrow(_count, "lang string, gram bigint, n bigint")
     table = folder.store(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     found = table.toArrow()
     names = found["lang"].combine_chunks().dictionary_encode()
@@ -152,7 +166,7 @@ def train(labelled: DataFrame) -> Model:
     for order in range(ORDER + 1):
         part = lang << 32 | gram & ((1 << 8 * (order + 1)) - 1)
         key, count = merged([part], [n]) if len(part) else (part, n)
-        counts.append((key & 0xFFFFFFFF, key >> 32, count))
+        counts.append(((key & 0xFFFFFFFF).astype(np.uint32), (key >> 32).astype(np.int32), count))
     folder.drop("grams")
     return Model(languages, counts)
 
@@ -167,7 +181,6 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     others = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    chunk = CHUNK_CHARS // 2
 
     def guess(column: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         learned = shared.value
@@ -176,7 +189,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
             lettered = [k for k, text in enumerate(texts) if any(map(str.isalpha, text))] if learned.languages else []
             some = [texts[k] for k in lettered]
-            for start, end in chunks_of(some, chunk):
+            for start, end in chunks_of(some, CHUNK_CHARS):
                 lengths = learned.code_lengths(some[start:end])
                 best = lengths.argmin(axis=1)
                 share = 1 / np.exp(lengths.min(axis=1, keepdims=True) - lengths).sum(axis=1)

@@ -230,6 +230,16 @@ def test_a_tree_does_not_depend_on_other_languages(spark):
     assert among.code_lengths(texts)[:, own].tolist() == alone.code_lengths(texts).tolist()
 
 
+def test_languages_learn_from_so_many_rows(spark):
+    rows = [("en", f"text number {k}") for k in range(2000)] + [("xx", f"rare {k}") for k in range(30)]
+    frame = spark.createDataFrame(rows, "lang string, text string")
+    folder = langid.Folder(spark)
+    drawn = {r["lang"]: r["count"] for r in langid.sample(frame, 200, folder).groupBy("lang").count().collect()}
+    assert drawn["xx"] == 30 and 140 < drawn["en"] < 260
+    few, all_ = langid.train(frame, 200), langid.train(frame, 2000)
+    assert few.counts[0][2].sum() < 0.3 * all_.counts[0][2].sum() and few.languages == all_.languages
+
+
 def plain_code_length(model, text, lang):
     tables = []
     for gram, language, n in model.counts:
