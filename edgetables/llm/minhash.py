@@ -9,12 +9,14 @@ confirmed on their full sets.  A pair at a similarity of 0.8 shares none of the
 32 bands with a chance of 5e-8.
 
 Groups of copies are never expanded into pairs.  Documents with one set are one
-node.  In a band all documents meet one of it, drawn by a hash, so a large group
-meets as many of its members as it shares bands; only bands whose documents
-are not yet connected go on with another draw.  What these rounds leave is
-compared exhaustively within the band, with the estimate and an exact bound, the
-shingles that a document shares with any other, as part of the join, so that only
-likely pairs leave it.
+node.  In a band all documents meet one of it, its head: at first the one with
+the most band neighbours in all, which in a group of edited copies is the original
+or close to it, then another one, drawn by a hash.  Only bands whose documents are not yet
+connected go on.  What is left of them has met the first head and is
+outlined against it: one bit for each of the head's shingles.  Two documents have
+in common what their outlines share, and at most the smaller of what each
+shares with any document outside the head.  Blocks of outlines are compared by
+bit counts, and only pairs that this bound and the estimate allow leave a task.
 """
 
 from __future__ import annotations
@@ -36,9 +38,9 @@ BANDS, ROWS, BITS = 32, 4, 4
 HASHES = 384  # the first BANDS * ROWS make the bands
 LANES = HASHES * BITS // 64  # 64-bit numbers of a packed signature
 ESTIMATE_MARGIN = 0.11  # more than five standard deviations of the estimate at 0.8
-FIRST_LANES = 8  # looked at first, with twice the margin, where very many pairs are compared
 ROUNDS = 2
-LEAST_TASKS = 64
+BLOCK_ROWS = 2048  # outlines compared with as many others in one task
+OUTLINED = "ref bigint, variant bigint, rep bigint, size bigint, outline binary"
 SIGNED = "doc_id bigint, n_shingles bigint, key1 bigint, key2 bigint, packed array<bigint>, bands array<bigint>"
 CHUNK = 1_000_000
 
@@ -71,17 +73,15 @@ def band_keys(low: np.ndarray) -> np.ndarray:
     return mixed(sums + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-def likely(
-    one: list[Column], other: list[Column], percent: int, lanes: int = LANES, margin: float = ESTIMATE_MARGIN
-) -> Column:
-    """Whether the first lanes of two packed signatures allow the similarity, by the minima that agree in all bits."""
+def likely(one: list[Column], other: list[Column], percent: int) -> Column:
+    """Whether two packed signatures allow the similarity, by the minima that agree in all bits."""
     differ = F.lit(0)
-    for group in range(0, lanes, BITS):
+    for group in range(0, LANES, BITS):
         odd = [one[k].bitwiseXOR(other[k]) for k in range(group, group + BITS)]
         differ = differ + F.bit_count(reduce(Column.bitwiseOR, odd))
     chance = 2.0**-BITS
-    least = chance + (1 - chance) * (percent / 100 - margin)  # share of minima that agree
-    return differ <= math.floor((1 - least) * lanes * 64 / BITS)
+    least = chance + (1 - chance) * (percent / 100 - ESTIMATE_MARGIN)  # share of minima that agree
+    return differ <= math.floor((1 - least) * HASHES)
 
 
 def lanes_of(array: str) -> list[Column]:
@@ -175,6 +175,77 @@ def shared_sizes(docs: DataFrame, words: int) -> DataFrame:
     )
 
 
+def outlined(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """``(ref, variant, rep, size, outline)`` for pairs ``(ref, rep)``: which shingles of ``ref`` are in ``rep``, as bits.
+
+    ``variant`` tells several texts of one ``ref`` apart.
+    """
+    texts = docs.select("doc_id", "text").dropDuplicates()
+    with_ref = pairs.join(texts.withColumnsRenamed({"doc_id": "ref", "text": "ref_text"}), "ref")
+    both = with_ref.join(texts.withColumnsRenamed({"doc_id": "rep", "text": "rep_text"}), "rep")
+    schema = arrow_schema(OUTLINED)
+
+    def outline(batches: Iterator) -> Iterator:
+        last, last_set, variant = None, None, 0
+        for batch in batches:
+            ref, rep = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            step = max(1, CHUNK * batch.num_rows // max(1, batch.nbytes))
+            for start in range(0, batch.num_rows, step):
+                rows = []
+                others = shingle_sets([text or "" for text in batch.column(3)[start : start + step].to_pylist()], words)
+                for k, found in enumerate(others, start):
+                    text = batch.column(2)[k].as_py() or ""
+                    if text != last:
+                        last, last_set = text, shingle_sets([text], words)[0]
+                        variant = int(last_set.sum(dtype=np.uint64).view(np.int64))
+                    bits = np.packbits(np.isin(last_set, found, assume_unique=True))
+                    rows.append((ref[k], variant, rep[k], len(found), bits.tobytes()))
+                yield batch_of(rows, schema)
+
+    return both.select("ref", "rep", "ref_text", "rep_text").mapInArrow(outline, OUTLINED)
+
+
+def allowed_pairs(outlines: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(src, dst)`` with different labels that may be similar enough, by outlines ``(ref, variant, rep, size, outline, label, shared)``.
+
+    The rows of one ``ref`` are dealt to blocks, and every two blocks meet in a
+    group of their own, so no task holds more than two blocks.
+    """
+    key = ["ref", "variant"]
+    sizes = outlines.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), F.min("label").alias("low"), F.max("label").alias("high"))
+    blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
+    open_ = outlines.join(sizes.filter("low < high").select(*key, blocks.alias("blocks")), key)
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    cells = open_.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select(
+        *key, F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"),
+        "block", "rep", "label", "size", "shared", "outline",
+    )
+    schema = arrow_schema("src bigint, dst bigint")
+
+    def meet(cell):
+        block = cell["block"].to_numpy()
+        rep, label, size, shared = (cell[c].to_numpy() for c in ("rep", "label", "size", "shared"))
+        bits = np.frombuffer(b"".join(cell["outline"].to_pylist()), np.uint8).reshape(len(rep), -1)
+        bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))).view(np.uint64)
+        beyond = np.maximum(shared - np.bitwise_count(bits).sum(axis=1, dtype=np.int64), 0)
+        one, two = cell["one"][0].as_py(), cell["two"][0].as_py()
+        left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
+        rows = []
+        for k, a in enumerate(left.tolist()):
+            with_ = right[k + 1 :] if one == two else right
+            with_ = with_[label[with_] != label[a]]
+            common = np.bitwise_count(bits[with_] & bits[a]).sum(axis=1, dtype=np.int64) + np.minimum(beyond[with_], beyond[a])
+            for b in with_[100 * common >= percent * (size[with_] + size[a] - common)].tolist():
+                if rep[a] != rep[b]:
+                    rows.append((min(int(rep[a]), int(rep[b])), max(int(rep[a]), int(rep[b]))))
+        import pyarrow as pa
+
+        return pa.Table.from_batches([batch_of(rows, schema)], schema)
+
+    return cells.groupBy(*key, "one", "two").applyInArrow(meet, "src bigint, dst bigint")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``: one row per row of ``docs (doc_id, text)``.
 
@@ -200,15 +271,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     )
     packs = folder.store(nodes.select("rep", "packed", "bands"), "nodes")
     met = packs.select("rep", F.explode("bands").alias("band"))
-    shared = met.groupBy("band").agg(F.min("rep").alias("src"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    open_ = folder.store(met.join(shared.select("band"), "band", "left_semi"), "open-0")
-    labels, links, done = None, None, None
+    shared = met.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = folder.store(met.join(shared, "band"), "met")
+    near = met.groupBy("rep").agg(F.sum("n").alias("near"))
+    open_ = folder.store(met.select("rep", "band").join(near, "rep"), "open-0")
+    first_heads, labels, links, done = None, None, None, None
     for turn in range(rounds + 1):
         rows = open_
         if labels is not None:
             rows = rows.join(labels, "rep", "left")
         rows = rows.withColumn("label", F.col("rep") if labels is None else F.coalesce("label", "rep"))
-        drawn = F.struct(F.xxhash64("rep", "band", F.lit(turn)), "rep", "label")
+        drawn = F.xxhash64("rep", "band", F.lit(turn))
+        drawn = F.struct(-F.col("near") if turn == 0 else drawn, drawn, "rep", "label")
         heads = (
             rows.groupBy("band")
             .agg(F.min(drawn).alias("head"), F.min("label").alias("low"), F.max("label").alias("high"))
@@ -218,30 +292,20 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         held = folder.store(rows.join(heads, "band"), f"held-{turn}")
         if held.isEmpty():
             break
+        if turn == 0:
+            first_heads = held.groupBy("band").agg(F.first("head.rep").alias("ref"))
         if turn < rounds:
             pairs = held.filter("rep <> head.rep and label <> head.label").select(
                 F.least("rep", "head.rep").alias("src"), F.greatest("rep", "head.rep").alias("dst")
             )
         else:
-            rest = held.select("rep").distinct()
-            sizes = shared_sizes(docs.join(rest.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), words)
-            facts = folder.store(packs.select("rep", "packed").join(sizes, "rep"), "rest")
-            # Small rows but many comparisons: as many tasks as the session shuffles to, however few bytes there are.
-            tasks = max(LEAST_TASKS, int(folder.spark.conf.get("spark.sql.shuffle.partitions")))
-            packs_apart = [lane.alias(f"lane{k}") for k, lane in enumerate(lanes_of("packed"))]
-            side = held.join(facts, "rep").select("band", "rep", "label", "size", "shared", *packs_apart)
-            side = side.repartition(tasks, "band")
-            one, other = (side.withColumnsRenamed({c: f"{c}_{s}" for c in side.columns if c != "band"}) for s in "ab")
-            lanes = [[F.col(f"lane{k}_{s}") for k in range(LANES)] for s in "ab"]
-            most = F.least("shared_a", "shared_b")
-            pairs = (
-                one.join(other, "band")
-                .filter((F.col("rep_a") < F.col("rep_b")) & (F.col("label_a") != F.col("label_b")))
-                .filter(100 * most >= percent * (F.col("size_a") + F.col("size_b") - most))
-                .filter(likely(*lanes, percent, FIRST_LANES, 2 * ESTIMATE_MARGIN))
-                .filter(likely(*lanes, percent))
-                .select(F.col("rep_a").alias("src"), F.col("rep_b").alias("dst"))
-            )
+            rest = held.select("band", "rep", "label").join(first_heads, "band").select("ref", "rep", "label").distinct()
+            rest = folder.store(rest, "rest")
+            both = rest.select(F.explode(F.array("ref", "rep")).alias("doc_id")).distinct()
+            sizes = shared_sizes(docs.join(both, "doc_id", "left_semi"), words)
+            outlines = outlined(rest.select("ref", "rep"), docs, words)
+            outlines = outlines.join(rest, ["ref", "rep"]).join(sizes.select("rep", "shared"), "rep")
+            pairs = allowed_pairs(folder.store(outlines, "outlines"), percent)
         pairs = pairs.distinct()
         if done is not None:
             pairs = pairs.join(done, ["src", "dst"], "left_anti")
@@ -258,7 +322,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         links = found if links is None else links.unionByName(found)
         labels = connected_components(links).select(F.col("node").alias("rep"), F.col("component").alias("label"))
         if turn < rounds:
-            open_ = held.filter("rep <> head.rep").select("band", "rep")
+            open_ = held.filter("rep <> head.rep").select("band", "rep", "near")
     groups = firsts if labels is None else firsts.join(labels, "rep", "left")
     smallest = F.coalesce("label", "rep") if labels is not None else F.col("rep")
     placed = signed.select("doc_id", *key).join(groups.select(*key, smallest.alias("found")), key, "left")
