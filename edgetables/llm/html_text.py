@@ -2,40 +2,46 @@
 
 What stands in an ``article`` is kept whole, however often it occurs elsewhere;
 what stands in a menu, a footer, a form and the like goes.  The text of which the
-tags say nothing is decided by a suffix array over the token streams of each
+tags say nothing is decided by the suffixes of the token streams of each
 host: stretches of at least ``LEAST_TOKENS`` tokens that occur on two pages or
 more are boilerplate and go, token by token, and runs that occur on one page alone
-stay, also inside a block.  Pages that are near copies of each other count as one
-page.  Menus and footers are part of the array too, as their texts
-turn up without their tags on other pages.
-
-The array is built in parts.  Every suffix of a stream goes, under the host and
-its first ``LEAST_TOKENS`` tokens, to one place, so all suffixes with a common
-prefix of that length, an interval of the array, meet, and no part depends on
-another.  A repeated stretch of any length is the union of such prefixes, so
-deeper sorting would not cover more.  Equal streams of a host are one stream
-before any suffix is made, and intervals are reduced to their smallest and
-largest page before they are shuffled, so a host with a third of all pages is no
-burden.
+stay, also inside a block; but of a block that is otherwise repeated, fewer than
+``LEAST_TOKENS`` tokens are no text of their own and go with it.  Pages that are near
+copies of each other count as one page.  Menus and footers take part too, as their
+texts turn up without their tags on other pages.
+
+A suffix array of a host would show the same: an interval of suffixes with
+``LEAST_TOKENS`` tokens in common holds two pages.  It is not sorted.  Every suffix
+is reduced to a hash of its host and first ``LEAST_TOKENS`` tokens, so
+an interval is a group of equal hashes, and a repeated stretch of any length is
+the union of such beginnings.  Only hashes and numbers are shuffled, a few bytes for
+every token; the text of a stream is joined once, at the end.  Equal streams of a
+host are one stream before any suffix is made.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import xxhash
+from pyspark.sql import Column, DataFrame, functions as F
 
-from edgetables.llm.common import Folder, arrow_schema, batch_of
+from edgetables.llm.common import Folder, arrow_schema, batch_of, slices
 from edgetables.llm.markup import FRAMED, INSIDE, OPEN, blocks
 from edgetables.llm.minhash import near_duplicates
+from edgetables.llm.shingles import mixed
+from edgetables.plans.hot_groups import join_facts
 
 LEAST_TOKENS = 6
-COVERED = 0.5  # share of a block's tokens in repeated stretches above which `covered` marks it; removes nothing
+TOKEN_END = re.compile("[ \n]")
 PARSED = (
     "row bigint, page_id bigint, url string, host string, texts array<string>, stream_of array<int>, "
     "place_of array<int>, streams array<string>, open_streams array<int>"
 )
 BATCH_CHARS = 4_000_000
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def parsed_page(content: str) -> tuple[list[str], list[int], list[int], list[str], list[int]]:
@@ -92,53 +98,81 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
     ).mapInArrow(parse, PARSED)
 
 
-def repeated_blocks(streams: DataFrame, least: int = LEAST_TOKENS, covered: float = COVERED) -> DataFrame:
-    """``(host, stream, covered, kept)`` from ``streams (host, stream, page)``: for each block of a stream, whether most of it repeats, and the runs that do not.
+def stream_key(host: str = "host", stream: str = "stream") -> Column:
+    """128 bits that stand for a stream of a host."""
+    return F.unhex(F.md5(F.concat(F.col(host), F.lit("\n"), F.col(stream)).cast("binary")))
+
+
+def beginnings(host: str, tokens: list[str], least: int) -> np.ndarray:
+    """A hash of the host and the first ``least`` tokens of every suffix; a shorter stream is one suffix as it is."""
+    size = min(least, len(tokens))
+    own = np.array([xxhash.xxh3_64_intdigest(token) for token in tokens], np.uint64)
+    sums = np.full(len(tokens) - size + 1, xxhash.xxh3_64_intdigest(host) + size & 2**64 - 1, np.uint64)
+    for k in range(size):
+        sums = sums * _BASE + own[k : k + len(sums)]
+    return mixed(sums).view(np.int64)
+
+
+def kept_runs(stream: str, starts: list[int], least: int) -> list[str]:
+    """The blocks of a stream without the stretches of ``least`` tokens that begin at ``starts``."""
+    blocks_ = [block.split(" ") for block in stream.split("\n")]
+    ends = np.cumsum([len(block) for block in blocks_])
+    steps = np.zeros(int(ends[-1]) + least + 1, np.int64)
+    np.add.at(steps, starts, 1)
+    np.add.at(steps, np.array(starts) + least, -1)
+    lone = np.cumsum(steps)[: ends[-1]] == 0
+    out = []
+    for block, end in zip(blocks_, ends.tolist()):
+        rest = [token for token, alone in zip(block, lone[end - len(block) : end].tolist()) if alone]
+        out.append(" ".join(rest) if len(rest) in (len(block), *range(least, len(block))) else "")
+    return out
+
+
+def repeated_blocks(streams: DataFrame, folder: Folder, least: int = LEAST_TOKENS) -> DataFrame:
+    """``(key, kept)`` from ``streams (host, stream, page)``: by :func:`stream_key`, what is left of each block of a stream.
 
     ``page`` tells different pages apart; pages with one content should share it.
-    Streams without a repeated stretch give no row.  A stream shorter than
-    ``least`` tokens is one suffix as it is.
+    Streams without a repeated stretch give no row.
     """
     distinct = streams.groupBy("host", "stream").agg(F.min("page").alias("first"), F.max("page").alias("last"))
-    tokens = F.split("stream", r"\s")
-    places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(tokens) - least))
-    prefixes = F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice(tokens, i + 1, least), " ")))
-    suffixes = distinct.select("host", "stream", "first", "last", F.posexplode(prefixes).alias("at", "prefix"))
+    distinct = folder.store(distinct.withColumn("key", stream_key()), "streams")
+
+    def suffixes(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in slices(batches):
+            key, host, stream, first, last = (column.to_pylist() for column in batch.columns)
+            for k, text in enumerate(stream):
+                found = beginnings(host[k], TOKEN_END.split(text), least)
+                n = len(found)
+                columns = [pa.array([key[k]] * n, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(found)]
+                columns += [pa.array(np.full(n, page[k], np.int64)) for page in (first, last)]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "at", "prefix", "first", "last"])
+
+    columns = "key binary, at int, prefix bigint, first bigint, last bigint"
+    made = distinct.select("key", "host", "stream", "first", "last").mapInArrow(suffixes, columns)
     intervals = (
-        suffixes.groupBy("host", "prefix")
+        made.groupBy("prefix")
         .agg(F.min("first").alias("low"), F.max("last").alias("high"))
         .filter("low < high")
-        .select("host", "prefix")
+        .select("prefix", F.lit(True).alias("repeated"))
     )
+    n_tokens = distinct.agg(F.sum(F.size(F.split("stream", r"[ \n]"))).alias("n")).first()["n"] or 0
     starts = (
-        suffixes.select("host", "stream", "prefix", "at")
-        .join(intervals, ["host", "prefix"], "left_semi")
-        .groupBy("host", "stream")
+        join_facts(made.select("key", "at", "prefix"), intervals, "prefix", n_tokens)
+        .filter("repeated")
+        .groupBy("key")
         .agg(F.collect_list("at").alias("starts"))
     )
-    columns = "host string, stream string, covered array<boolean>, kept array<string>"
-    schema = arrow_schema(columns)
+    schema = arrow_schema("key binary, kept array<string>")
 
-    def cover(batches: Iterator) -> Iterator:
-        import numpy as np
+    def keep(batches: Iterator) -> Iterator:
+        for batch in slices(batches):
+            rows = zip(*(column.to_pylist() for column in batch.columns))
+            yield batch_of([(key, kept_runs(stream, at, least)) for key, stream, at in rows], schema)
 
-        for batch in batches:
-            rows = []
-            for host, stream, at in zip(*(column.to_pylist() for column in batch.columns)):
-                ends = np.cumsum([len(block.split(" ")) for block in stream.split("\n")])
-                steps = np.zeros(int(ends[-1]) + least + 1, np.int64)
-                np.add.at(steps, at, 1)
-                np.add.at(steps, np.array(at) + least, -1)
-                inside = np.r_[0, np.cumsum(np.cumsum(steps)[: ends[-1]] > 0)]
-                begins = np.r_[0, ends[:-1]]
-                mostly = (inside[ends] - inside[begins] >= covered * (ends - begins)).tolist()
-                lone = (np.diff(inside) == 0).tolist()
-                words = [block.split(" ") for block in stream.split("\n")]
-                kept = [" ".join(w for w, alone in zip(some, lone[a:]) if alone) for some, a in zip(words, begins.tolist())]
-                rows.append((host, stream, mostly, kept))
-            yield batch_of(rows, schema)
-
-    return starts.mapInArrow(cover, columns)
+    found = distinct.select("key", "stream").join(starts, "key").select("key", "stream", "starts")
+    return found.mapInArrow(keep, "key binary, kept array<string>")
 
 
 def near_copies(parsed: DataFrame, folder: Folder) -> DataFrame:
@@ -154,8 +188,6 @@ def near_copies(parsed: DataFrame, folder: Folder) -> DataFrame:
     return folder.store(found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("copy_of")), "copies")
 
 
-
-
 def main_text(pages: DataFrame, least: int = LEAST_TOKENS) -> DataFrame:
     """``(page_id, url, text)``: one row per row of ``pages (page_id, url, html)``.
 
@@ -173,14 +205,15 @@ def main_text(pages: DataFrame, least: int = LEAST_TOKENS) -> DataFrame:
     copies = near_copies(parsed, folder)
     page = F.coalesce(F.xxhash64("copy_of"), F.xxhash64("texts", "streams")).alias("page")
     streams = parsed.join(copies, "row", "left").select("host", F.explode("streams").alias("stream"), page)
-    flags = folder.store(repeated_blocks(streams, least), "flags")
+    flags = folder.store(repeated_blocks(streams, folder, least), "flags")
     open_ = (
         parsed.filter(F.size("open_streams") > 0)
         .select("row", "host", F.explode("open_streams").alias("number"), "streams")
         .select("row", "host", "number", F.get("streams", F.col("number")).alias("stream"))
+        .select("row", "number", stream_key().alias("key"))
     )
     decided = (
-        open_.join(flags, ["host", "stream"])
+        open_.join(flags, "key")
         .groupBy("row")
         .agg(F.map_from_entries(F.collect_list(F.struct("number", "kept"))).alias("runs"))
     )

@@ -31,7 +31,7 @@ def quantised(vector: str, scale: int) -> Column:
     finite = F.forall(
         vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf")))
     )
-    codes = F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("int"))
+    codes = F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("bigint"))
     return F.when(F.col(vector).isNotNull() & finite & (F.size(vector) > 0), codes)
 
 

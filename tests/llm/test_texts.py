@@ -333,24 +333,59 @@ def test_only_repeated_runs_go_and_near_copies_are_one_page(spark):
     assert [got[k] for k in range(2, 5)] == [f"{story} Version {k}" for k in range(3)]
 
 
-def test_covered_blocks_are_those_of_a_plain_search(spark):
-    rng = random.Random(9)
-    streams = ["\n".join(" ".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))) for _ in range(4)) for _ in range(25)]
-    frame = spark.createDataFrame([("h", s, k) for k, s in enumerate(streams)], "host string, stream string, page long")
-    got = {r["stream"]: r["covered"] for r in html_text.repeated_blocks(frame, least=5).collect()}
-    tokens = {s: s.split() for s in streams}
-    for stream in streams:
-        own, inside = tokens[stream], set()
-        for at in range(max(1, len(own) - 4)):
-            prefix = own[at : at + 5]
-            if any(prefix == o[i : i + 5] for s, o in tokens.items() if s != stream for i in range(max(1, len(o) - 4))):
-                inside.update(range(at, at + 5))
-        at, want = 0, []
-        for block in stream.split("\n"):
-            n = len(block.split())
-            want.append(sum(t in inside for t in range(at, at + n)) >= 0.5 * n)
-            at += n
-        assert got.get(stream, [False] * 4) == want
+def plain_kept(streams, least):
+    """What is left of each block: ``streams`` are lists of blocks of tokens, one for each page."""
+    tokens = [[t for block in blocks for t in block] for blocks in streams]
+    out = []
+    for k, blocks in enumerate(streams):
+        own, inside = tokens[k], set()
+        for at in range(max(1, len(own) - least + 1)):
+            prefix = own[at : at + least]
+            others = (o for j, o in enumerate(tokens) if j != k)
+            if any(prefix == o[i : i + least] for o in others for i in range(max(1, len(o) - least + 1))):
+                inside.update(range(at, at + least))
+        at, kept = 0, []
+        for block in blocks:
+            rest = [t for i, t in enumerate(block, at) if i not in inside]
+            kept.append(" ".join(rest) if len(rest) == len(block) or len(rest) >= least else "")
+            at += len(block)
+        out.append(kept)
+    return out
+
+
+def random_streams(seed, n=25):
+    rng = random.Random(seed)
+    return [[[rng.choice("abc") for _ in range(rng.randrange(1, 14))] for _ in range(4)] for _ in range(n)]
+
+
+@pytest.mark.parametrize("least", [3, 5])
+def test_kept_runs_are_those_of_a_plain_search(spark, least):
+    streams = random_streams(9)
+    texts = ["\n".join(map(" ".join, blocks)) for blocks in streams]
+    frame = spark.createDataFrame([("h", t, k) for k, t in enumerate(texts)], "host string, stream string, page long")
+    keys = {bytes(r["key"]): r["stream"] for r in frame.withColumn("key", html_text.stream_key()).collect()}
+    found = html_text.repeated_blocks(frame, html_text.Folder(spark), least).collect()
+    got = {keys[bytes(r["key"])]: r["kept"] for r in found}
+    for text, blocks, want in zip(texts, streams, plain_kept(streams, least)):
+        assert got.get(text, [" ".join(block) for block in blocks]) == want
+
+
+def test_whole_pages_without_tags_equal_a_plain_search(spark):
+    streams = random_streams(21)
+    pages = ["<html><body>" + "".join(f"<div>{' '.join(block)}</div>" for block in blocks) + "</body></html>" for blocks in streams]
+    frame = spark.createDataFrame([(k, f"http://h.example/{k}", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(frame).collect()}
+    for k, want in enumerate(plain_kept(streams, html_text.LEAST_TOKENS)):
+        left = " ".join(filter(None, want))
+        assert got[k] == (left or " ".join(t for block in streams[k] for t in block))
+
+
+def test_long_shared_streams_cost_what_their_tokens_do(spark):
+    shared = " ".join(f"w{k}" for k in range(3000))
+    pages = [f"<div><p>{shared}</p><p>{' '.join(f'own{k}x{i}' for i in range(1500))}</p></div>" for k in range(4)]
+    frame = spark.createDataFrame([(k, f"http://h.example/{k}", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(frame).collect()}
+    assert all(got[k] == " ".join(f"own{k}x{i}" for i in range(1500)) for k in range(4))
 
 
 def test_digest_columns_follow_from_the_spans():
