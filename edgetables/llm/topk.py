@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from edgetables.llm.common import Folder
 
 TOP_SLICES = 7
+SMALLEST, LARGEST = -(2**63), 2**63 - 1
 BLOCK_ROWS = 16_384
 LEAST_QUERIES, MOST_QUERIES = 256, 65_536  # in one task
 
@@ -135,8 +136,8 @@ class Block:
         held = self.bytes[:, :, rows >> 3] >> (rows & 7).astype(np.uint8) & 1
         return np.tensordot(self.weights, held, axes=(0, 1))
 
-    def best(self, query: np.ndarray, own: int, k: int, floor: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """``(ids, scores)`` of at least the k best rows whose score is ``floor`` or more."""
+    def best(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids, scores)`` of at least the k best rows."""
         columns: list[list[int]] = []
         offset, last = 0, self.kept - 1
         inverted = len(self.planes) // 2
@@ -158,14 +159,22 @@ class Block:
             rows[row >> 6] &= ~np.uint64(1 << (row & 63))
         n = int(np.bitwise_count(rows).sum())
         rest = (1 << self.low) - 1  # most that the lower slices of one component add
-        lowest, highest = int(query[query < 0].sum()) * rest, int(query[query > 0].sum()) * rest
+        lowest, highest = (sum(map(int, some)) * rest for some in (query[query < 0], query[query > 0]))
         if n > k:
-            reached = ((kth_largest(sums, rows, k) + offset) << self.low) + lowest
-            floor = reached if floor is None else max(floor, reached)
-        if floor is not None:  # sums whose score may reach the floor
-            rows = at_least(sums, rows, -(-(floor - highest) // (1 << self.low)) - offset)
+            reached = min(((kth_largest(sums, rows, k) + offset) << self.low) + lowest, LARGEST)
+            if reached > SMALLEST:  # sums whose score may reach it
+                rows = at_least(sums, rows, -(-(reached - highest) // (1 << self.low)) - offset)
         found = np.flatnonzero(np.unpackbits(rows.view(np.uint8), bitorder="little"))
-        return self.ids[found], query.astype(np.int64) @ self.codes(found)
+        return self.ids[found], scores(query, self.codes(found))
+
+
+def scores(query: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Inner products as longs; those that a long cannot hold are its largest or smallest value."""
+    most = int(np.maximum(codes, -codes - 1).max(initial=0)) + 1
+    if sum(abs(int(x)) for x in query) * most <= LARGEST:
+        return query.astype(np.int64) @ codes
+    exact = query.astype(object) @ codes.astype(object)
+    return np.array([min(max(score, SMALLEST), LARGEST) for score in exact], np.int64)
 
 
 def build_index(vectors: DataFrame, folder: Folder, vector: str = "embedding", scale: int = 256) -> DataFrame:
@@ -216,7 +225,9 @@ def top_k(
     more than once asks with the smallest of its vectors; candidate rows that
     repeat are rows of their own.  Null or empty vectors, vectors with null or
     non-finite components and rows without an id take no part, neither do
-    candidates with another number of components than the query.  Fewer
+    candidates with another number of components than the query.  Components
+    whose integer a long cannot hold count as its largest or smallest value, and
+    so do scores, which then tie.  Fewer
     candidates than ``k`` give fewer rows, an empty table none.  Further columns
     are not looked at.
     """
@@ -255,11 +266,11 @@ def top_k(
                 rows = ([], [], [])
                 for one in batch.column(4)[i].values.to_pylist():
                     query = np.array(one["codes"], np.int64)
-                    found, scores = block.best(query, one["query_id"], k, None)
-                    best = np.lexsort((found, -scores))[:k]
+                    found, score = block.best(query, one["query_id"], k)
+                    best = np.lexsort((found, -1 - score))[:k]  # of the smallest long there is no negative
                     rows[0].extend([one["query_id"]] * len(best))
                     rows[1].extend(found[best].tolist())
-                    rows[2].extend(scores[best].tolist())
+                    rows[2].extend(score[best].tolist())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, pa.int64()) for c in rows], names=["query_id", "vec_id", "score"]
                 )

@@ -93,3 +93,44 @@ def test_pipeline_stages(spark):
     assert not any(base_spans(r["text"]) for r in clean.collect())
     pieces = corpus_pipeline.pack_sequences(spark, clean, SF_DIR)
     assert {r["doc_id"] for r in pieces.collect()} == {r["doc_id"] for r in clean.collect()}
+
+
+ODD_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, component_id string, spans int, part int"
+ENGLISH, FRENCH = "the old house by the river was sold again", "la vieille maison au bord de la rivière est vendue"
+
+
+def odd_documents(spark):
+    rows = [(k, f"{ENGLISH} in the year {k} by its owner number {k * k}", "en", "s", 1) for k in range(40)]
+    rows += [(100 + k, f"{FRENCH} en l'an {k} par son maître {k * k}", "fr", None, None) for k in range(40)]
+    rows += [(200, None, "en", "s", 1), (201, "", None, None, None), (202, " 12 - 7 ", "fr", "s", 1), (None, ENGLISH + " without an id", "en", "s", 1)]
+    rows += [(300, FRENCH + " x" * 3000, None, "s", 1), (301, ENGLISH + " mail ann@example.org or 10.2.3.4", "en", "s", 1)]
+    rows += [(302, "the same words twice over and over again here", "en", "s", 1)] * 2 + [(303, "the same words twice over and over again here", "en", "s", 1)]
+    return spark.createDataFrame([(*row, None, "x", 3, 4) for row in rows], ODD_SCHEMA)
+
+
+def test_pipeline_stages_with_odd_rows(spark):
+    docs = odd_documents(spark)
+    known = corpus_pipeline.identify_languages(spark, docs, SF_DIR)
+    assert known.columns == corpus_pipeline.DOCUMENTS
+    rows = known.collect()
+    assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in docs.collect()} - {200, 201, 202}
+    assert {r["lang"] for r in rows if r["doc_id"] == 300} == {"fr"} and sum(r["doc_id"] == 302 for r in rows) == 2
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF_DIR)
+    assert kept.columns == corpus_pipeline.DOCUMENTS
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert ids.count(302) == 2 and 303 not in ids and None in ids and {200, 201, 202} <= set(ids)
+    clean = corpus_pipeline.redact_personal_data(spark, docs, SF_DIR)
+    texts = {r["doc_id"]: r for r in clean.collect()}
+    assert clean.columns == corpus_pipeline.DOCUMENTS and clean.count() == docs.count()
+    assert texts[301]["text"].endswith("mail [EMAIL] or [IP]") and texts[301]["n_chars"] == len(texts[301]["text"])
+    assert texts[200]["text"] in (None, "") and not texts[200]["n_chars"]
+    pieces = corpus_pipeline.pack_sequences(spark, docs, SF_DIR).collect()
+    assert sum(r["length"] for r in pieces if r["start"] == 0) and sum(r["doc_id"] == 302 for r in pieces) >= 2
+    starts = sorted((r["sequence_id"] * 2048 + r["offset"], r["length"]) for r in pieces)
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:])) and starts[0][0] == 0
+
+
+def test_pipeline_of_nothing(spark):
+    none = spark.createDataFrame([], ODD_SCHEMA)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, SF_DIR).count() == 0

@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import math
 
 import numpy as np
 import pytest
@@ -66,6 +67,22 @@ def test_top_k_of_few_or_no_rows(spark):
     assert topk.top_k(frame.limit(0), frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block_rows", [4, 1000])
+def test_large_components(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", block_rows)
+    rng = np.random.default_rng(1)
+    sizes = [1.0, 1e7, 1e12, 1e17, 1e300, -1e300]
+    rows = [(k, [float(x) for x in rng.normal(size=3) * rng.choice(sizes, 3)]) for k in range(24)] + [(30, [1e7, -1e7, 0.5]), (31, [-1e300] * 3)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    held = lambda x: min(max(x, -(2**63)), 2**63 - 1)
+    codes = {k: [held(math.floor(256 * x)) for x in v] for k, v in rows}
+    want = []
+    for query, q in codes.items():
+        scored = sorted((-held(sum(a * b for a, b in zip(q, c))), k) for k, c in codes.items() if k != query)
+        want += [(query, rank, k, -s) for rank, (s, k) in enumerate(scored[:3], 1)]
+    assert sorted(tuple(r) for r in topk.top_k(frame, frame, k=3).collect()) == sorted(want)
+
+
 def test_signed_digits_and_slices():
     for n in range(-300, 300):
         assert sum(d << s for s, d in topk.signed_digits(n)) == n
