@@ -75,6 +75,25 @@ def slices(batches):
             yield batch.slice(start, SLICE_ROWS)
 
 
+def trimmed(results):
+    """Pass results on, and after each give the memory that is free again back to the machine.
+
+    Python workers outlive their task and lie beside the JVM and those of later
+    stages; what the C library keeps for itself adds up there.
+    """
+    import ctypes
+
+    import pyarrow as pa
+
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)
+    for result in results:
+        yield result
+        del result
+        pa.default_memory_pool().release_unused()
+        trim(0)
+    trim(0)
+
+
 def chunks_of(texts: list[str], most: int = CHUNK_CHARS):
     """Slices ``(start, end)`` of a list, each of about ``most`` characters; one long text makes one slice."""
     start, size = 0, 0

@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from edgetables.llm.common import Folder, chunks_of, slices
+from edgetables.llm.common import Folder, chunks_of, slices, trimmed
 
 ORDER = 3
 LANGUAGE_ROWS = 20_000  # that a language learns from, but for chance
@@ -152,7 +152,7 @@ def train(labelled: DataFrame, most: int = LANGUAGE_ROWS) -> Model:
     folder = Folder(labelled.sparkSession)
     rows = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = sample(rows.filter("lang is not null and text is not null"), most, folder)
-    counted = rows.mapInArrow(_count, "lang string, gram bigint, n bigint")
+    counted = rows.mapInArrow(lambda batches: trimmed(_count(batches)), "lang string, gram bigint, n bigint")
     table = folder.store(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     found = table.toArrow()
     names = found["lang"].combine_chunks().dictionary_encode()
@@ -197,7 +197,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     names[k], scores[k] = learned.languages[name], score
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
-    guessed = F.pandas_udf(guess, "lang_pred string, score double")
+    def freed(column: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        return trimmed(guess(column))
+
+    guessed = F.pandas_udf(freed, "lang_pred string, score double")
     return docs.select(*[F.col(f"`{c}`") for c in others], guessed(F.col("text").cast("string")).alias("_guess")).select(
         *[F.col(f"`{c}`") for c in others], "_guess.lang_pred", "_guess.score"
     )

@@ -28,7 +28,7 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from edgetables.llm.common import Folder, arrow_schema, batch_of, chunks_of
+from edgetables.llm.common import Folder, arrow_schema, batch_of, chunks_of, slices, trimmed
 from edgetables.llm.shingles import mixed, shingle_sets
 from edgetables.plans.components import connected_components
 
@@ -42,7 +42,7 @@ ROUNDS = 2
 BLOCK_ROWS = 2048  # outlines compared with as many others in one task
 OUTLINED = "ref bigint, variant bigint, rep bigint, size bigint, outline binary"
 SIGNED = "doc_id bigint, n_shingles bigint, key1 bigint, key2 bigint, packed array<bigint>, bands array<bigint>"
-CHUNK = 1_000_000
+CHUNK = 500_000
 
 _random = np.random.Generator(np.random.PCG64(19_970_611))
 _TIMES = _random.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -93,7 +93,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     schema = arrow_schema(SIGNED)
 
     def sign(batches: Iterator) -> Iterator:
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = batch.column(0).to_pylist(), [text or "" for text in batch.column(1).to_pylist()]
             for start, end in chunks_of(texts, CHUNK):
                 sets = shingle_sets(texts[start:end], words)
@@ -107,7 +107,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                         rows[k] = (ids[start + k], len(found), *keys, bits, bands)
                 yield batch_of(rows, schema)
 
-    return docs.mapInArrow(sign, SIGNED)
+    return docs.mapInArrow(lambda batches: trimmed(sign(batches)), SIGNED)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -141,7 +141,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
                 names=["src", "dst"],
             )
 
-    return both.select("src", "dst", "src_text", "dst_text").mapInArrow(confirm, "src bigint, dst bigint")
+    return both.select("src", "dst", "src_text", "dst_text").mapInArrow(lambda batches: trimmed(confirm(batches)), "src bigint, dst bigint")
 
 
 def shared_sizes(docs: DataFrame, words: int) -> DataFrame:
@@ -166,7 +166,7 @@ def shared_sizes(docs: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     one = ["rep", "variant"]
-    shingles = docs.dropDuplicates().mapInArrow(cut, "rep bigint, variant bigint, shingle bigint")
+    shingles = docs.dropDuplicates().mapInArrow(lambda batches: trimmed(cut(batches)), "rep bigint, variant bigint, shingle bigint")
     counted = shingles.groupBy("shingle").agg(*[F.min(c).alias(c) for c in one], F.count(F.lit(1)).alias("n"))
     alone = counted.filter("n = 1").groupBy(*one).agg(F.count(F.lit(1)).alias("alone"))
     sizes = shingles.groupBy(*one).agg(F.count(F.lit(1)).alias("size")).join(alone, one, "left")
@@ -202,7 +202,7 @@ def outlined(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
                     rows.append((ref[k], variant, rep[k], len(found), bits.tobytes()))
                 yield batch_of(rows, schema)
 
-    return both.select("ref", "rep", "ref_text", "rep_text").mapInArrow(outline, OUTLINED)
+    return both.select("ref", "rep", "ref_text", "rep_text").mapInArrow(lambda batches: trimmed(outline(batches)), OUTLINED)
 
 
 def allowed_pairs(outlines: DataFrame, percent: int) -> DataFrame:

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from edgetables.llm.common import Folder, arrow_schema, batch_of, slices
+from edgetables.llm.common import Folder, arrow_schema, batch_of, slices, trimmed
 from edgetables.llm.tokens import encoder
 
 WINDOW = 2048
@@ -48,7 +48,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, white_matters: bool) -
             )
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(
-        encode, "part int, local_start bigint, doc_id bigint, doc_tokens bigint, ids binary"
+        lambda batches: trimmed(encode(batches)), "part int, local_start bigint, doc_id bigint, doc_tokens bigint, ids binary"
     )
 
 

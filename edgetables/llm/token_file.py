@@ -23,7 +23,7 @@ import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from edgetables.llm.common import Folder, slices, write_file
+from edgetables.llm.common import Folder, slices, trimmed, write_file
 from edgetables.llm.tokens import encoder
 
 END_ID = 0
@@ -129,7 +129,7 @@ def write_token_files(
             yield out()
 
     columns = "part int, block int, before bigint, doc_ids array<bigint>, sizes array<bigint>, ids binary"
-    blocks = folder.store(in_order.mapInArrow(encode, columns), "ids")
+    blocks = folder.store(in_order.mapInArrow(lambda batches: trimmed(encode(batches)), columns), "ids")
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -20,8 +20,8 @@ from edgetables.llm.shingles import mixed
 
 #: Unicode's White_Space, as the tokenizers' patterns have it.
 WHITE = "\t-\r \u0085   -     　"
-CHUNK = 1_000_000
-REMEMBERED = 400_000
+CHUNK = 500_000
+REMEMBERED = 250_000
 LONGEST = 64  # bytes of a unit that is remembered
 OTHER, SPACE, LETTER, MARK, DIGIT, APOSTROPHE = range(6)
 
