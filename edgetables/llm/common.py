@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from edgetables.plans.storage import checkpoint_root
+from edgetables.sources.files import open_filesystem
 
 CHUNK_CHARS = 4_000_000
 
@@ -39,9 +40,7 @@ class Folder:
 
 def write_file(uri: str, content: bytes) -> None:
     """Write one file from a task: under another name first, so that a retried task leaves no half file."""
-    from pyarrow import fs
-
-    files, path = fs.FileSystem.from_uri(uri)
+    files, path = open_filesystem(uri)
     files.create_dir(path.rpartition("/")[0], recursive=True)
     trial = f"{path.rpartition('/')[0]}/_{uuid.uuid4().hex}"
     with files.open_output_stream(trial) as out:
