@@ -3,6 +3,7 @@
 from edgetables.operators.edges import nodes, normalize_edges, shift_ids, symmetrize, union_distinct
 from edgetables.operators.pairs import attach_labels, component_map, component_sizes, dedup_pairs, graph_stats
 from edgetables.plans.components import component_pairs, connected_components, find_components
+from edgetables.plans.diameter import component_diameters, find_diameters
 from edgetables.plans.fixed_point import FixedPoint, NotConverged, fixed_point
 from edgetables.plans.keys import number_edges, number_keys
 from edgetables.plans.steps import step_join, step_list, step_window
@@ -13,6 +14,7 @@ __all__ = [
     "FixedPoint",
     "NotConverged",
     "attach_labels",
+    "component_diameters",
     "component_map",
     "component_pairs",
     "component_sizes",
@@ -20,6 +22,7 @@ __all__ = [
     "dedup_pairs",
     "edges_from",
     "find_components",
+    "find_diameters",
     "fixed_point",
     "graph_stats",
     "nodes",

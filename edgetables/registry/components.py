@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from edgetables.operators import pairs as P
 from edgetables.plans.components import component_pairs, connected_components, find_components
+from edgetables.plans.diameter import component_diameters
 from edgetables.plans.fixed_point import fixed_point
 from edgetables.plans.keys import number_edges, number_keys
 from edgetables.plans.steps import step_join
@@ -143,3 +144,22 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     edges = order_part(spark, sf_dir)
     return P.graph_stats(edges, find_components(edges).labels())
+
+
+def diameters_sql(graph: str) -> str:
+    """Component, nodes and diameter from the distances of all pairs of nodes, lonely nodes included."""
+    return (
+        f"WITH RECURSIVE e AS ({EDGE_SQL[graph]}), "
+        "s AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst), "
+        "d(a, b, k) USING KEY (a, b) AS (SELECT src, src, 0 FROM (SELECT src FROM e UNION SELECT dst FROM e) UNION "
+        "SELECT d.a, s.dst, min(d.k) + 1 FROM d JOIN s ON s.src = d.b LEFT JOIN recurring.d r ON r.a = d.a AND r.b = s.dst "
+        "WHERE r.a IS NULL GROUP BY d.a, s.dst) "
+        "SELECT component, count(*) AS n_nodes, CAST(max(far) AS BIGINT) AS diameter "
+        "FROM (SELECT a, min(b) AS component, max(k) AS far FROM d GROUP BY a) GROUP BY component"
+    )
+
+
+for graph in ("cust_orders", "part_supp", "same_doc"):
+    query(f"diameter_{graph}", diameters_sql(graph))(
+        lambda spark, sf_dir, graph=graph: component_diameters(GRAPHS[graph](spark, sf_dir))
+    )
