@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from edgetables.functions.ids import big, int_div
 from edgetables.llm.common import Folder
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -44,6 +45,8 @@ CANDIDATE = (
 )
 LEAST_CANDIDATE = 6
 CONTEXT_CHARS = 60
+BLOCK = 4096  # code points; texts are cut into blocks, lists of matches into groups, so that the work
+GROUP = 256  # on a text grows with its length and its matches, not with their product
 LEFT_WORDS = r"(\S+\s+)?\S*\s*$"  # the last two words before, with what touches the string
 
 ESCAPE = 0.05  # lost of a trust that goes over to an instance and back; what keeps a few chance seeds from spreading
@@ -81,12 +84,54 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def matches(text: Column, pattern: str, kind: int, shown: Column | None = None) -> Column:
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def blocks_of(text: Column) -> Column:
+    """The text in pieces of ``BLOCK`` code points, so that no place in it is sought from its start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def piece(blocks: Column, start: Column, end: Column) -> Column:
+    """The code points from ``start`` to ``end`` of the text that was cut into ``blocks``."""
+    first, last = int_div(start, big(BLOCK)), int_div(end - 1, big(BLOCK))
+    joined = F.array_join(F.slice(blocks, (first + 1).cast("int"), (last - first + 1).cast("int")), "")
+    inside = joined.substr((start - first * BLOCK + 1).cast("int"), (end - start).cast("int"))
+    return F.when(end > start, inside).otherwise("")
+
+
+def in_groups(items: Column, after, made) -> Column:
+    """``made(group, at)`` for each group of ``GROUP`` items, where ``at`` is ``after`` of all groups before.
+
+    An array that is appended to is copied each time; groups keep that short.
+    """
+
+    def fold(groups):
+        nothing = F.struct(big(0).alias("at"), F.array().cast("array<bigint>").alias("ats"))
+        carried = F.aggregate(
+            groups,
+            nothing,
+            lambda held, group: F.struct(
+                after(held["at"], group).alias("at"), F.concat(held["ats"], F.array(held["at"])).alias("ats")
+            ),
+            lambda held: held["ats"],
+        )
+        return F.zip_with(groups, carried, made)
+
+    def cut(every):
+        starts = F.sequence(F.lit(1), F.greatest(F.size(every), F.lit(1)), F.lit(GROUP))
+        return let(F.transform(starts, lambda start: F.slice(every, start, GROUP)), fold)
+
+    return let(items, cut)
+
+
+def matches(text: Column, pattern: str, kind: int, blocks: Column) -> Column:
     """All matches in order: ``start, kind, end, before, value``, with the words before them.
 
-    The words are those of ``shown``, which is as long as ``text``, and by default ``text`` itself.
+    The words are those of the text that was cut into ``blocks``, which is as long as ``text``.
     """
-    shown = text if shown is None else shown
     between = F.zip_with(
         F.split(text, pattern, -1),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
@@ -96,20 +141,24 @@ def matches(text: Column, pattern: str, kind: int, shown: Column | None = None)
     def place(so_far, one):
         start = so_far["at"] + one["gap"]
         end = start + F.length(one["value"])
-        least = F.greatest(start - CONTEXT_CHARS, F.lit(0))
-        left = shown.substr((least + 1).cast("int"), (start - least).cast("int"))
+        left = piece(blocks, F.greatest(start - CONTEXT_CHARS, big(0)), start)
         before = F.trim(F.regexp_replace(F.lower(F.regexp_extract(left, LEFT_WORDS, 0)), r"\s+", " "))
         found = F.struct(
             start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), before.alias("before"), one["value"].alias("value")
         )
         return F.struct(end.alias("at"), F.concat(so_far["found"], F.array(found)).alias("found"))
 
-    nothing = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(FOUND).alias("found"))
-    matched = F.filter(between, lambda one: one["value"].isNotNull())
-    return F.aggregate(matched, nothing, place, lambda held: held["found"])
+    def after(at, group):
+        return F.aggregate(group, at, lambda so_far, one: so_far + one["gap"] + F.length(one["value"]))
+
+    def placed(group, at):
+        nothing = F.struct(at.alias("at"), F.array().cast(FOUND).alias("found"))
+        return F.aggregate(group, nothing, place, lambda held: held["found"])
 
+    return F.flatten(in_groups(F.filter(between, lambda one: one["value"].isNotNull()), after, placed))
 
-def base_spans(text: Column) -> Column:
+
+def base_spans(text: Column, blocks: Column) -> Column:
     """The valid matches of the four patterns, by start and kind."""
     needed = {
         "email": F.contains(text, F.lit("@")),
@@ -121,35 +170,47 @@ def base_spans(text: Column) -> Column:
     found = [
         F.when(
             needed[kind],
-            F.filter(matches(text, PATTERNS[kind], k), lambda one: valid(kind, one["value"])),
+            F.filter(matches(text, PATTERNS[kind], k, blocks), lambda one: valid(kind, one["value"])),
         ).otherwise(none)
         for k, kind in enumerate(KINDS)
     ]
     return F.array_sort(F.concat(*found))
 
 
-def masked(text: Column, spans: Column) -> Column:
-    """``text`` with every character of a span replaced by ``TAKEN``."""
-    nothing = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
+def replaced(text: Column, blocks: Column, spans: Column, gap_and_new) -> Column:
+    """``text`` with ``gap_and_new(at, span)`` in place of each span and what lies between it and ``at``, the end of those before."""
 
     def cut(so_far, span):
-        start = F.greatest(so_far["at"], span["start"])
-        gap = text.substr((so_far["at"] + 1).cast("int"), (start - so_far["at"]).cast("int"))
-        taken = F.repeat(F.lit(TAKEN), F.greatest(span["end"] - start, F.lit(0)).cast("int"))
         return F.struct(
-            F.greatest(so_far["at"], span["end"]).alias("at"), F.concat(so_far["parts"], F.array(gap, taken)).alias("parts")
+            F.greatest(so_far["at"], span["end"]).alias("at"),
+            F.concat(so_far["parts"], F.array(gap_and_new(so_far["at"], span))).alias("parts"),
         )
 
-    def end(held):
-        rest = text.substr((held["at"] + 1).cast("int"), F.length(text))
-        return F.array_join(F.concat(held["parts"], F.array(rest)), "")
+    def after(at, group):
+        return F.aggregate(group, at, lambda so_far, span: F.greatest(so_far, span["end"]))
+
+    def made(group, at):
+        nothing = F.struct(at.alias("at"), F.array().cast("array<string>").alias("parts"))
+        return F.aggregate(group, nothing, cut, lambda held: F.array_join(held["parts"], ""))
+
+    end = F.array_max(F.transform(spans, lambda span: span["end"]))
+    rest = piece(blocks, end, F.length(text).cast("bigint"))
+    return F.when(F.size(spans) > 0, F.concat(F.array_join(in_groups(spans, after, made), ""), rest)).otherwise(text)
+
+
+def masked(text: Column, blocks: Column, spans: Column) -> Column:
+    """``text`` with every character of a span replaced by ``TAKEN``."""
+
+    def taken(at, span):
+        start = F.greatest(at, span["start"])
+        return F.concat(piece(blocks, at, start), F.repeat(F.lit(TAKEN), F.greatest(span["end"] - start, big(0)).cast("int")))
 
-    return F.when(F.size(spans) > 0, F.aggregate(spans, nothing, cut, end)).otherwise(text)
+    return replaced(text, blocks, spans, taken)
 
 
-def candidates(text: Column, left: Column) -> Column:
-    """Identifier-shaped strings of ``left``, the ``text`` without its spans."""
-    found = F.when(left.rlike("[0-9@]"), matches(left, CANDIDATE, -1, text)).otherwise(F.array().cast(FOUND))
+def candidates(left: Column, blocks: Column) -> Column:
+    """Identifier-shaped strings of ``left``, the text of ``blocks`` without its spans."""
+    found = F.when(left.rlike("[0-9@]"), matches(left, CANDIDATE, -1, blocks)).otherwise(F.array().cast(FOUND))
     return F.filter(found, lambda one: (F.length(one["value"]) >= LEAST_CANDIDATE) | F.contains(one["value"], F.lit("@")))
 
 
@@ -225,9 +286,10 @@ def find(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     others = [F.col(f"`{c}`") for c in columns or docs.columns if c not in ("base", "spans") and c[0] != "_"]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = docs.select(*others, F.monotonically_increasing_id().alias("_row"), text.alias("_text"))
-    found = found.withColumn("_base", base_spans(F.col("_text")))
-    found = found.withColumn("_left", masked(F.col("_text"), F.col("_base")))
-    found = found.withColumn("_open", candidates(F.col("_text"), F.col("_left"))).drop("_text", "_left")
+    found = found.withColumn("_blocks", blocks_of(F.col("_text")))
+    found = found.withColumn("_base", base_spans(F.col("_text"), F.col("_blocks")))
+    found = found.withColumn("_left", masked(F.col("_text"), F.col("_blocks"), F.col("_base")))
+    found = found.withColumn("_open", candidates(F.col("_left"), F.col("_blocks"))).drop("_text", "_left", "_blocks")
     found = folder.store(found, "found")
     strings = found.select(F.explode(F.concat("_base", "_open")).alias("one")).select("one.before", "one.value", "one.kind")
     trusted = trusted_patterns(strings, folder)
@@ -258,18 +320,10 @@ def span_names(spans: str) -> Column:
 def redact(found: DataFrame) -> DataFrame:
     """``text`` with every span replaced by its kind in brackets; overlapping spans become one, named by the first."""
     names = F.array(*[F.lit(f"[{kind.upper()}]") for kind in KINDS * 2])
-    empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def cut(so_far, span):
-        gap = F.col("text").substr((so_far["at"] + 1).cast("int"), (span["start"] - so_far["at"]).cast("int"))
-        fresh = F.concat(so_far["parts"], F.array(gap, F.get(names, span["kind"])))
-        return F.struct(
-            F.greatest(so_far["at"], span["end"]).alias("at"),
-            F.when(span["start"] < so_far["at"], so_far["parts"]).otherwise(fresh).alias("parts"),
-        )
 
-    def end(held):
-        rest = F.col("text").substr((held["at"] + 1).cast("int"), F.length("text"))
-        return F.array_join(F.concat(held["parts"], F.array(rest)), "")
+    def named(at, span):
+        fresh = F.concat(piece(F.col("_blocks"), at, span["start"]), F.get(names, span["kind"]))
+        return F.when(span["start"] < at, "").otherwise(fresh)
 
-    return found.withColumn("text", F.when(F.size("spans") > 0, F.aggregate("spans", empty, cut, end)).otherwise(F.col("text")))
+    cut = found.withColumn("_blocks", blocks_of(F.col("text")))
+    return cut.withColumn("text", replaced(F.col("text"), F.col("_blocks"), F.col("spans"), named)).drop("_blocks")

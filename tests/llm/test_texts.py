@@ -106,6 +106,23 @@ def test_contexts_are_found_until_no_more_cross_the_threshold(spark):
     assert all(rows[t] == pii_names(t) for t in orders)
 
 
+def test_long_texts_with_many_matches(spark):
+    rng = random.Random(8)
+    words = ["é🙂" * 700, "mail me at a@b.co", "server 10.0.0.1", "call me at +1 (487) 555-7209", "card 4111 1111 1111 1111", "\n"]
+    texts = [" ".join(rng.choices(words, [1, 60, 60, 60, 60, 20], k=n)) for n in (300, 1500, 3000)] + ["x" * 4095 + " a@b.co"]
+    frame = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], SCHEMA)
+    found = pii.find(frame)
+    rows = {r["doc_id"]: r for r in found.collect()}
+    redacted = {r["doc_id"]: r["text"] for r in pii.redact(found).collect()}
+    for k, text in enumerate(texts):
+        assert [tuple(s) for s in rows[k]["base"]] == base_spans(text)
+        want, at = [], 0
+        for start, kind, end in sorted(tuple(s) for s in rows[k]["spans"]):
+            want += [] if start < at else [text[at:start], f"[{pii.KINDS[kind % 4].upper()}]"]
+            at = max(at, end)
+        assert redacted[k] == "".join(want) + text[at:]
+
+
 def pii_names(text):
     return ",".join(f"{pii.KINDS[kind]}:{start}:{end}" for start, kind, end in base_spans(text))
 
