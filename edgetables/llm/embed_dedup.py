@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from edgetables.llm.common import Folder
 from edgetables.plans.components import connected_components
+from edgetables.plans.hot_groups import join_facts
 
 THRESHOLD = 0.9
 TILE_ROWS = 4096
@@ -133,7 +134,8 @@ def near_links(vectors: DataFrame, vector: str = "embedding", threshold: float =
     distinct = folder.store(
         keyed.filter("key is not null")
         .groupBy("key")
-        .agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")),
+        .agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
+        .withColumn("node", F.monotonically_increasing_id()),  # ids may repeat with other vectors
         "distinct",
     )
 
@@ -165,7 +167,7 @@ def near_links(vectors: DataFrame, vector: str = "embedding", threshold: float =
 
     n = distinct.count()
     tiles = folder.store(
-        distinct.select("rep", "copies", "v").repartition(max(1, math.ceil(n / TILE_ROWS))).mapInArrow(tiles_of, TILE),
+        distinct.select("node", "copies", "v").repartition(max(1, math.ceil(n / TILE_ROWS))).mapInArrow(tiles_of, TILE),
         "tiles",
     )
     one, other = (tiles.select([F.col(c).alias(f"{c}_{side}") for c in tiles.columns]) for side in "ab")
@@ -191,21 +193,20 @@ def near_links(vectors: DataFrame, vector: str = "embedding", threshold: float =
                 has = np.flatnonzero(links)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(nodes[has]), pa.array(nodes[root[has]]), pa.array(links[has])],
-                    names=["rep", "root", "links"],
+                    names=["node", "root", "links"],
                 )
 
-    found = folder.store(met.mapInArrow(links_of, "rep bigint, root bigint, links bigint"), "found")
-    joined = connected_components(found.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
-    counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    facts = (
-        distinct.select("key", "rep", "copies")
-        .join(counts, "rep", "left")
-        .join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-        .select(
-            "key",
-            (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("bigint").alias("n_links"),
-            F.coalesce("component", "rep").alias("component"),
-        )
+    found = folder.store(met.mapInArrow(links_of, "node bigint, root bigint, links bigint"), "found")
+    joined = connected_components(found.select(F.col("node").alias("src"), F.col("root").alias("dst")))
+    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
+    linked = folder.store(
+        distinct.select("node", "key", "rep", "copies").join(counts, "node", "left").join(joined, "node", "left"), "linked"
+    )
+    smallest = linked.filter("component is not null").groupBy("component").agg(F.min("rep").alias("smallest"))
+    facts = join_facts(linked, smallest, "component", n).select(
+        "key",
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("bigint").alias("n_links"),
+        F.coalesce("smallest", "rep").alias("component"),
     )
     return (
         keyed.select("vec_id", "key")
