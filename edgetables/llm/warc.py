@@ -3,7 +3,8 @@
 Pages become WARC records, gzip-compressed one by one.  Of pages with one
 payload the one with the largest id is written whole; the others become revisit
 records that name it.  Only digests and ids are shuffled to find out which is
-which.  Reading turns the archives back into rows and resolves the revisits by a
+which; up to ``MAX_BROADCAST_DIGESTS`` repeated digests then travel to the rows,
+beyond it the rows are shuffled to them.  Reading turns the archives back into rows and resolves the revisits by a
 join of their headers with those of the responses.
 """
 
@@ -22,6 +23,7 @@ from edgetables.llm.common import Folder, arrow_schema, batch_of, write_file
 
 LEAST_BYTES = 1000  # shorter payloads are always written whole
 FILE_BYTES = 8_000_000
+MAX_BROADCAST_DIGESTS = 500_000  # of 20 bytes, with an id: 50 MB in memory
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = b"\r\n"
@@ -120,9 +122,11 @@ def write_warc(pages: DataFrame, uri: str | None = None, least_bytes: int = LEAS
         .groupBy("digest")
         .agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("copies"))
         .filter("copies > 1 and original is not null")
-        .drop("copies")
+        .select(F.unhex("digest").alias("key"), "original")
     )
-    decided = rows.join(repeated, "digest", "left").select(
+    repeated = folder.store(repeated, "repeated")
+    few = repeated.count() <= MAX_BROADCAST_DIGESTS
+    decided = rows.join(F.broadcast(repeated) if few else repeated, F.unhex("digest") == F.col("key"), "left").select(
         "page_id",
         "url",
         "payload",
@@ -161,7 +165,12 @@ def write_warc(pages: DataFrame, uri: str | None = None, least_bytes: int = LEAS
 
 
 def read_records(spark: SparkSession, uri: str) -> DataFrame:
-    """Every record of the archives as a row; revisits have no payload."""
+    """Every record of the archives as a row; revisits have no payload.
+
+    A page without an id or url gives nulls there, an empty payload an empty
+    binary.  Rows that were repeated come back as often; archives of no rows give
+    no rows.  A record cut short or unlike its digest raises.
+    """
     listed = spark.read.schema(LIST).parquet(f"{uri}/list")
     if listed.isEmpty():
         return spark.createDataFrame([], RECORDS)
@@ -194,7 +203,9 @@ def read_records(spark: SparkSession, uri: str) -> DataFrame:
 def resolve_revisits(records: DataFrame, with_payload: bool = False) -> DataFrame:
     """Records with the size, and if asked for the payload, of the response that a revisit refers to.
 
-    ``refers_to`` is the page id of that response, null for responses.
+    ``refers_to`` is the page id of that response, null for responses; if several
+    rows share id and payload, their responses are equal and one stands for all.
+    A revisit without its response keeps nulls; no records give no rows.
     """
     given = ["payload_bytes", *(["payload"] if with_payload else [])]
     responses = (

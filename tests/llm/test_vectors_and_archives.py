@@ -114,6 +114,13 @@ def test_links_equal_brute_force(spark, rows, monkeypatch, tile, threshold):
         assert (r["n_links"], r["component_id"], r["kept"]) == (n, smallest, smallest == r["vec_id"])
 
 
+def test_ids_that_repeat_with_other_vectors(spark):
+    rows = [(7, [1.0, 0.0]), (7, [0.0, 1.0]), (3, [1.0, 0.01]), (5, [0.01, 1.0]), (7, [1.0, 0.0]), (9, [-1.0, 0.0])]
+    found = embed_dedup.near_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in found)
+    assert got == [(3, 2, 3, True), (5, 1, 5, True), (7, 1, 5, False), (7, 2, 3, False), (7, 2, 3, False), (9, 0, 9, True)]
+
+
 def test_quantisation_bound_holds():
     rng = np.random.default_rng(1)
     units, codes, scales, errors = embed_dedup.quantise(rng.normal(size=(200, 16)) * 10.0 ** rng.integers(-150, 150, (200, 1)))
@@ -131,8 +138,10 @@ def test_no_vectors(spark):
 PAGES = "page_id long, url string, html string, file string"
 
 
-def test_archives_give_back_every_page(spark, monkeypatch):
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_archives_give_back_every_page(spark, monkeypatch, broadcast):
     monkeypatch.setattr(warc, "FILE_BYTES", 3000)
+    monkeypatch.setattr(warc, "MAX_BROADCAST_DIGESTS", broadcast)
     long, short = "é<p>\r\n\r\nx" * 300, "tiny"
     pages = [(k, f"http://h/{k}\r\n", long, "") for k in range(8)] + [(k, None, short, "") for k in (20, 21)]
     pages += [(30, "u", None, None), (31, "u", "", None), (None, "u", "n" * 1500, ""), (None, "u", long, ""), (40, "u", "z" * 5000, "")]
