@@ -387,6 +387,56 @@ def test_kept_runs_are_those_of_a_plain_search(spark, least):
         assert got.get(text, [" ".join(block) for block in blocks]) == want
 
 
+def test_intervals_go_on_over_the_ends_of_partitions(spark):
+    streams = random_streams(33, 40) + [[["a"] * 400], [["a"] * 300, ["b"] * 5]]
+    texts = ["\n".join(map(" ".join, blocks)) for blocks in streams]
+    frame = spark.createDataFrame([("h", t, k) for k, t in enumerate(texts)], "host string, stream string, page long")
+    keys = {bytes(r["key"]): r["stream"] for r in frame.withColumn("key", html_text.stream_key()).collect()}
+    option, before = "spark.sql.adaptive.coalescePartitions.enabled", spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set(option, "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        found = html_text.repeated_blocks(frame, html_text.Folder(spark), 4).collect()
+    finally:
+        spark.conf.unset(option)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    got = {keys[bytes(r["key"])]: r["kept"] for r in found}
+    for text, blocks, want in zip(texts, streams, plain_kept(streams, 4)):
+        assert got.get(text, [" ".join(block) for block in blocks]) == want
+
+
+@pytest.mark.parametrize("rows_a_batch", [1, 2, 7, 1000])
+def test_intervals_of_sorted_suffixes(rows_a_batch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(rows_a_batch)
+    tokens = sorted(rng.choice([1, 2, 3, 4, 5, 5, 5]) for _ in range(60))
+    rows = [(np.array([9, t], ">u8").tobytes(), k, 0, 1, page, page) for k, t in enumerate(tokens) for page in [rng.randrange(2) if t > 2 else 0]]
+    names = ["suffix", "stream", "at", "size", "low", "high"]
+    types = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + rows_a_batch]), types)], names=names)
+        for k in range(0, len(rows), rows_a_batch)
+    ]
+    got = {r["stream"]: r["suffix"] for batch in html_text.repeats_of(iter(batches)) for r in batch.to_pylist()}
+    ends = {rows[0][0], rows[-1][0]}
+    pages = {}
+    for suffix, *_, page in rows:
+        pages.setdefault(suffix, set()).add(page)
+    want = {r[1]: r[0] if r[0] in ends else None for r in rows if r[0] in ends or len(pages[r[0]]) > 1}
+    assert got == want and not list(html_text.repeats_of(iter([])))
+
+
+def test_repeats_cross_elements_and_short_elements_go_whole(spark):
+    def page(k, one, two):
+        return f"<div class={one}>one two three four</div><p class={two}>five six seven own{k} words{k} go{k} on{k} for{k} long{k}</p><div id=s>Share this</div>"
+
+    rows = [(k, f"https://h.example/{k}", page(k, f"c{k}", f"d{k}")) for k in range(3)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[k] for k in range(3)] == [f"own{k} words{k} go{k} on{k} for{k} long{k}" for k in range(3)]
+
+
 def test_whole_pages_without_tags_equal_a_plain_search(spark):
     streams = random_streams(21)
     pages = ["<html><body>" + "".join(f"<div>{' '.join(block)}</div>" for block in blocks) + "</body></html>" for blocks in streams]
