@@ -11,7 +11,10 @@ computed again in double precision.
 
 A task compares two tiles.  It gives back one number of links per vector and a
 spanning forest of the links, never the pairs.  Exact copies are collapsed first
-and counted.
+and counted.  Every tile goes once to each tile it meets, as numbers of the
+precision given; codes and bounds are made where they are used.  Tiles grow with
+the table until there are ``TILES`` of ``TILE_BYTES``, so up to there the bytes
+shuffled grow in proportion, and beyond with the square of the rows over the rows of a tile.
 """
 
 from __future__ import annotations
@@ -21,17 +24,20 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import FloatType
 
 from edgetables.llm.common import Folder
 from edgetables.plans.components import connected_components
 from edgetables.plans.hot_groups import join_facts
 
 THRESHOLD = 0.9
+TILES = 8  # fewer only if they would be smaller than TILE_ROWS
 TILE_ROWS = 4096
-STRIPE_ROWS = 512
+TILE_BYTES = 16_000_000  # of double precision
+STRIPE_ROWS, STRIPE_CELLS = 512, 4_000_000
 SLACK = 1e-5  # more than rounding adds to the bound
 EXACT_SINGLE = 1040
-TILE = "tile bigint, dims int, ids binary, copies binary, codes binary, scales binary, errors binary, vectors binary"
+TILE = "tile bigint, dims int, ids binary, copies binary, vectors binary"
 
 
 def quantise(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -64,11 +70,10 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 class Tile:
-    def __init__(self, ids, copies, codes, scales, errors, vectors, dims: int):
+    def __init__(self, ids, copies, vectors, dims: int, kind: type):
         self.ids, self.copies = np.frombuffer(ids, np.int64), np.frombuffer(copies, np.int64)
-        self.codes = np.frombuffer(codes, np.int8).reshape(-1, dims)
-        self.scales, self.errors = np.frombuffer(scales), np.frombuffer(errors)
-        self.vectors = np.frombuffer(vectors).reshape(-1, dims)
+        given = np.frombuffer(vectors, kind).reshape(-1, dims).astype(np.float64)
+        self.vectors, self.codes, self.scales, self.errors = quantise(given)
 
 
 def compare(a: Tile, b: Tile, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,8 +85,9 @@ def compare(a: Tile, b: Tile, same: bool, threshold: float) -> tuple[np.ndarray,
     n_a, n = len(a.ids), len(a.ids) + (0 if same else len(b.ids))
     shift = 0 if same else n_a
     root = np.arange(n)
-    for top in range(0, n_a, STRIPE_ROWS):
-        stripe = slice(top, top + STRIPE_ROWS)
+    rows = max(1, min(STRIPE_ROWS, STRIPE_CELLS // len(b.ids)))
+    for top in range(0, n_a, rows):
+        stripe = slice(top, top + rows)
         near = left[stripe] @ right
         near *= b.scales.astype(kind)
         floor = (threshold - worst) / a.scales[stripe, None]
@@ -139,6 +145,11 @@ def near_links(vectors: DataFrame, vector: str = "embedding", threshold: float =
         "distinct",
     )
 
+    n, dims = distinct.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    size = min(max(TILE_ROWS, math.ceil(n / TILES)), max(1, TILE_BYTES // (8 * dims)))
+    single = isinstance(vectors.schema[vector].dataType.elementType, FloatType)
+    kind = np.float32 if single else np.float64
+
     def tiles_of(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
@@ -149,44 +160,48 @@ def near_links(vectors: DataFrame, vector: str = "embedding", threshold: float =
         def out(dims):
             nonlocal made
             ids, copies, rows = zip(*held.pop(dims))
-            _units, codes, scales, errors = quantise(np.array(rows))
-            columns = [np.array(ids), np.array(copies), codes, scales, errors, _units]
             made += 1
             arrays = [pa.array([(part << 32) + made], pa.int64()), pa.array([dims], pa.int32())]
+            columns = [np.array(ids), np.array(copies), np.array(rows).astype(kind)]
             arrays += [pa.array([c.tobytes()], pa.binary()) for c in columns]
-            return pa.RecordBatch.from_arrays(arrays, names=["tile", "dims", "ids", "copies", "codes", "scales", "errors", "vectors"])
+            return pa.RecordBatch.from_arrays(arrays, names=["tile", "dims", "ids", "copies", "vectors"])
 
         for batch in batches:
             for rep, copies, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 some = held.setdefault(len(v), [])
                 some.append((rep, copies, v.values.to_numpy()))
-                if len(some) >= TILE_ROWS:
+                if len(some) >= size + size // 8:  # rows are dealt not quite evenly
                     yield out(len(v))
         for dims in list(held):
             yield out(dims)
 
-    n = distinct.count()
     tiles = folder.store(
-        distinct.select("node", "copies", "v").repartition(max(1, math.ceil(n / TILE_ROWS))).mapInArrow(tiles_of, TILE),
+        distinct.select("node", "copies", "v").repartition(max(1, math.ceil(n / size))).mapInArrow(tiles_of, TILE),
         "tiles",
     )
-    one, other = (tiles.select([F.col(c).alias(f"{c}_{side}") for c in tiles.columns]) for side in "ab")
     names = tiles.select("tile", "dims")
     pairs = names.withColumnRenamed("tile", "tile_a").join(names.withColumnRenamed("tile", "tile_b"), "dims")
     pairs = pairs.filter("tile_a <= tile_b").select("tile_a", "tile_b")
-    met = pairs.join(one, "tile_a").join(other, "tile_b").repartition("tile_a", "tile_b")
+    # A tile with itself is sent once.
+    sent = pairs.withColumn("tile", F.explode(F.array_distinct(F.array("tile_a", "tile_b"))))
+    n_tiles = tiles.count()
+    tasks = min(n_tiles * (n_tiles + 1), max(2000, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    met = tiles.join(sent, "tile").repartition(max(1, tasks), "tile_a", "tile_b")
+    met = met.sortWithinPartitions("tile_a", "tile_b", "tile")
 
     def links_of(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        fields = ["ids", "copies", "codes", "scales", "errors", "vectors"]
         for batch in batches:
-            at = {name: k for k, name in enumerate(batch.schema.names)}
             for r in range(batch.num_rows):
-                get = lambda name: batch.column(at[name])[r]
-                same = get("tile_a").as_py() == get("tile_b").as_py()
-                dims = get("dims_a").as_py()
-                a, b = (Tile(*[get(f"{f}_{side}").as_buffer() for f in fields], dims) for side in "ab")
+                get = lambda name: batch.column(batch.schema.get_field_index(name))[r]
+                tile, one, other = (get(name).as_py() for name in ("tile", "tile_a", "tile_b"))
+                b = Tile(*[get(name).as_buffer() for name in ("ids", "copies", "vectors")], get("dims").as_py(), kind)
+                if tile == one:
+                    a = b
+                if tile != other:
+                    continue
+                same = one == other
                 links_a, links_b, root = compare(a, b, same, threshold)
                 nodes = a.ids if same else np.concatenate([a.ids, b.ids])
                 links = links_a + links_b if same else np.concatenate([links_a, links_b])
