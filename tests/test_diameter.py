@@ -89,3 +89,18 @@ def test_the_limit_of_rounds(edges):
         assert not found.exact and row["at_least"] <= 40 <= row["at_most"] and row["n_nodes"] == 80
     with pytest.raises(TypeError):
         component_diameters(case, on_limit="return")
+
+
+def test_stars_and_complete_graphs_need_no_search(edges):
+    case = joined([[(0, i) for i in range(1, 90)], [(i, j) for i in range(70) for j in range(i)], [(4, 4)]])
+    with find_diameters(edges(case)) as found:
+        assert found.exact and found.rounds == 0
+        assert rows(found.rows.withColumn("diameter", F.col("at_least"))) == brute_force(case)
+
+
+def test_a_dense_graph_of_two_sides_takes_few_rounds(edges):
+    rng = random.Random(6)
+    case = [(2 * a, 2 * b + 1) for a in range(900) for b in rng.sample(range(300), 30)]
+    with find_diameters(edges(case)) as found:
+        assert found.exact and found.rounds <= 4  # by the bounds of single nodes: as many as the smaller side asks for
+        assert rows(found.rows.withColumn("diameter", F.col("at_least"))) == brute_force(case)
