@@ -5,10 +5,11 @@ from pyspark.sql import functions as F
 
 from edgetables.operators import edges as E, groups as G, pairs as P
 from edgetables.plans.contract import step_contract
-from edgetables.plans import hot_groups as H
+from edgetables.plans import hot_groups as H, ordered, storage
+from edgetables.plans.fixed_point import fixed_point
 from edgetables.plans.hot_groups import hot_groups, salted_groups
 from edgetables.plans.ordered import ordered_groups
-from edgetables.plans.steps import step_join, step_list, step_window
+from edgetables.plans.steps import in_turn, step_join, step_list, step_window
 from tests.reference_labels import one_step
 
 FORMS = {
@@ -143,3 +144,22 @@ def test_metrics(spark, edges):
     flagged = P.dedup_flagged(spark.createDataFrame([(1, 2, 0), (1, 2, 1), (3, 4, 0)], "src long, dst long, is_new int"))
     assert tuple(P.convergence_metrics(flagged).first()) == (2, 1)
     assert tuple(P.convergence_metrics(flagged.limit(0)).first()) == (0, 0)
+
+
+@pytest.mark.parametrize("step", [step_list, step_window, step_join])
+def test_steps_in_turn_never_grow_the_table(edges, step):
+    chain = [(i, i + 1) for i in range(60)]
+    run = fixed_point(edges([(b, a) for a, b in chain]), in_turn(step))
+    assert max(m["pair_count"] for m in run.metrics) <= 60  # a step to all neighbours yields more
+    assert sorted(tuple(r) for r in run.pairs.collect()) == [(i, 0) for i in range(1, 61)]
+
+
+def test_tasks_stay_small_and_settings_are_put_back(spark, monkeypatch):
+    monkeypatch.setattr(storage, "TASK_ROWS", 100)
+    monkeypatch.setattr(ordered, "TASK_ROWS", 100)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    with storage.small_tasks(spark, 1000):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "10"
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    groups = ordered_groups(spark.range(2000).selectExpr("id % 2 AS k", "id"), ["k"], ["id"], partitions=2)
+    assert groups.rows.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 400
