@@ -154,6 +154,16 @@ def test_steps_in_turn_never_grow_the_table(edges, step):
     assert sorted(tuple(r) for r in run.pairs.collect()) == [(i, 0) for i in range(1, 61)]
 
 
+@pytest.mark.parametrize("step", [step_list, step_window, step_join])
+def test_steps_in_turn_meet_copies_early(edges, step):
+    numbers = random.Random(3)
+    pairs = {(1000 + i, numbers.randrange(30)) for i in range(300) for _ in range(4)}
+    run = fixed_point(edges(list(pairs)), in_turn(step))
+    assert run.metrics[1]["pair_count"] < len(pairs) / 2  # with the step to larger neighbours first the second one still yields more
+    labels = dict(tuple(r) for r in run.pairs.collect())
+    assert set(labels.values()) == {0} and len(labels) == len({a for a, _ in pairs}) + 29
+
+
 def test_tasks_stay_small_and_settings_are_put_back(spark, monkeypatch):
     monkeypatch.setattr(storage, "TASK_ROWS", 100)
     monkeypatch.setattr(ordered, "TASK_ROWS", 100)
