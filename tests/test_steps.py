@@ -164,6 +164,14 @@ def test_steps_in_turn_meet_copies_early(edges, step):
     assert set(labels.values()) == {0} and len(labels) == len({a for a, _ in pairs}) + 29
 
 
+def test_neighbour_lists_are_made_after_the_shuffle(edges):
+    lists = G.neighbour_list(edges(ROWS["random"]))
+    plan = lists._jdf.queryExecution().executedPlan().toString().splitlines()
+    shuffle = next(i for i, line in enumerate(plan) if "Exchange" in line)
+    assert not any("collect_list" in line for line in plan[shuffle:])  # lists of few rows each would be as large as the rows
+    assert sum("Exchange" in line for line in plan) == 1
+
+
 def test_tasks_stay_small_and_settings_are_put_back(spark, monkeypatch):
     monkeypatch.setattr(storage, "TASK_ROWS", 100)
     monkeypatch.setattr(ordered, "TASK_ROWS", 100)
