@@ -4,13 +4,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from edgetables.operators import edges as E, groups as G, pairs as P
+from edgetables.plans.components import find_components
 from edgetables.plans.contract import step_contract
 from edgetables.plans import hot_groups as H, ordered, storage
 from edgetables.plans.fixed_point import fixed_point
 from edgetables.plans.hot_groups import hot_groups, salted_groups
 from edgetables.plans.ordered import ordered_groups
 from edgetables.plans.steps import in_turn, step_join, step_list, step_window
-from tests.reference_labels import one_step
+from tests.reference_labels import labels, one_step
 
 FORMS = {
     "list": step_list,
@@ -181,3 +182,29 @@ def test_tasks_stay_small_and_settings_are_put_back(spark, monkeypatch):
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
     groups = ordered_groups(spark.range(2000).selectExpr("id % 2 AS k", "id"), ["k"], ["id"], partitions=2)
     assert groups.rows.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 400
+
+
+@pytest.mark.parametrize("limit", [None, 5])
+@pytest.mark.parametrize("step", [step_list, step_window, step_join])
+def test_steps_that_settle_go_on_without_the_step_that_finds_nothing(edges, step, limit):
+    numbers = random.Random(5)
+    rows = [(i + 1, i) for i in range(100)] + [(i, i - numbers.randrange(1, 200)) for i in range(300, 400)] * 2
+    taken = []
+
+    def noted(name, half):
+        return lambda pairs, n: taken.append(name) or half(pairs, n, limit)
+
+    halves = tuple(noted(name, half) for name, half in zip(("smaller", "larger"), in_turn(step)))
+    run = fixed_point(edges(rows), halves, settles=True)
+    quiet = next(i for i, m in enumerate(run.metrics) if taken[i] == "smaller" and not m["new_pairs"])
+    assert run.converged and len(taken) > quiet + 2 and set(taken[quiet + 1 :]) == {"larger"}  # two in turn: as many smaller
+    assert {m["pair_count"] for m in run.metrics[quiet:]} == {len({a for a, _ in rows})}
+    found = sorted(tuple(r) for r in run.pairs.collect())
+    assert found == sorted((n, c) for n, c in labels(rows).items() if n != c)
+
+
+def test_a_loop_that_settles_looks_for_no_copies(edges):
+    chain = [(i + 1, i) for i in range(100)]
+    run = find_components(edges(chain), "window")
+    assert run.iterations == 9 and run.metrics[0]["new_pairs"] == 0  # in turn it took 16
+    assert sorted(tuple(r) for r in run.pairs.collect()) == [(i, 0) for i in range(1, 101)]
